@@ -5,10 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oremill.functions.ids import valid_id
+from oremill.operators import multivalue
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every category name of every business, with its position."""
+    rows = _table(spark, folder, "business").select(valid_id("business_id").alias("business_id"), "categories")
+    fields = rows.where("business_id is not null").groupBy("business_id").agg(F.max("categories").alias("categories"))
+    names = multivalue.known_names(_table(spark, folder, "category_ref"), "category_name")
+    return multivalue.split_values(fields, "categories", names, value="category", position="pos")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p2_found,)}
 
 
 def oracle_sql() -> dict[str, str]:
