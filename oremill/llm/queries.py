@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oremill.functions.ids import rating_pairs, valid_id
-from oremill.llm import bpe, components, cooccur, simjoin, terms, topn
+from oremill.llm import bpe, components, cooccur, leaks, simjoin, terms, topn
+from oremill.llm import sentences as sentence
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,5 +71,15 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(_table(spark, folder, "documents"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that carry passages of evaluation items."""
+    return leaks.leaked(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of every document."""
+    return sentence.sentences(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_pairs, p4_found, p5_found, p5_enriched, p6_found, p7_found, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_pairs, p4_found, p5_found, p5_enriched, p6_found, p7_found, p8_ids, p9_found, p10_found)}
