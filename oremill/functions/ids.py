@@ -19,10 +19,10 @@ def valid_id(column: str | Column) -> Column:
     return F.when(c.rlike(VALID), c)
 
 
-def rating_pairs(reviews: DataFrame) -> DataFrame:
-    """Distinct valid (user_id, business_id). Rows in which either is no valid id are left out; an empty table gives none."""
-    both = reviews.select(valid_id("user_id").alias("user_id"), valid_id("business_id").alias("business_id"))
-    return both.where("user_id is not null and business_id is not null").distinct()
+def valid_pairs(rows: DataFrame, one: str = "user_id", two: str = "business_id") -> DataFrame:
+    """(one, two) of the rows in which both are valid ids; repeated pairs are kept. An empty table gives none."""
+    both = rows.select(valid_id(one).alias(one), valid_id(two).alias(two))
+    return both.where(F.col(one).isNotNull() & F.col(two).isNotNull())
 
 
 def numbered(keys: DataFrame, key: str, number: str) -> DataFrame:

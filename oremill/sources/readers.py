@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oremill.functions.ids import valid_id
+from oremill.functions.ids import valid_id, valid_pairs
 
 _S, _D = T.StringType(), T.DoubleType()
 
@@ -88,8 +88,7 @@ def businesses(spark: SparkSession, folder: str) -> DataFrame:
 
 def state_extract(spark: SparkSession, folder: str) -> DataFrame:
     """(user_id, business_id) of the state extract, rows with two valid ids; repeated pairs are kept."""
-    rows = table(spark, folder, "sample_data").select(valid_id("user_id").alias("user_id"), valid_id("business_id").alias("business_id"))
-    return rows.where("user_id is not null and business_id is not null")
+    return valid_pairs(table(spark, folder, "sample_data"))
 
 
 def item_model(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def json_document(parts: dict[str, DataFrame], name: str = "value") -> DataFrame:
-    """One JSON object with a field per part: a one-row, one-column part is its value, a one-column part a list, others a list of lists.
+def _json(column: str) -> Column:
+    """JSON of one scalar."""
+    whole = F.to_json(F.array(F.col(column)))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
 
-    Parts are reports (counts, top lists): each becomes one value in one row.
-    """
-    out = None
+def json_document(parts: dict[str, DataFrame], name: str = "value") -> DataFrame:
+    """One JSON object with a field per part, fields in order of name: a part whose only column is `total` is its value, another one-column part a
+    list, and others a list of lists. Parts are reports (counts, top lists); each becomes one value."""
+    fields = None
     for field, df in parts.items():
-        spark = df.sparkSession
-        values = [F.col(c) for c in df.columns]
-        if len(values) == 1 and df.columns[0] in ("total", "n"):
-            one = df.select(F.to_json(F.struct(values[0].alias("v"))).alias("j"))
+        shown = [_json(c) for c in df.columns]
+        if df.columns == ["total"]:
+            one = df.select(shown[0].alias("j"))
         else:
-            row = F.to_json(F.struct(*values))
-            one = df.select(row.alias("j"))
-            one = one.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("j"))
-        one = one.select(F.lit(1).alias("k"), F.lit(field).alias("f"), F.col("j"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return spark.createDataFrame([("{}",)], f"{name} string")
+            row = shown[0] if len(shown) == 1 else F.concat(F.lit("["), F.concat_ws(", ", *shown), F.lit("]"))
+            one = df.select(row.alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("j"))
+        one = one.select(F.lit(field).alias("f"), "j")
+        fields = one if fields is None else fields.unionByName(one)
+    if fields is None:
+        raise ValueError("no parts")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "j"))), lambda x: F.concat(F.lit('"'), x.f, F.lit('": '), x.j)), ", ")
-    return out.groupBy("k").agg(F.concat(F.lit("{"), body, F.lit("}")).alias(name)).select(name)
+    return fields.agg(F.concat(F.lit("{"), body, F.lit("}")).alias(name))
 
 
 def write_text(df: DataFrame, path: str) -> None:
