@@ -48,7 +48,7 @@ def _gram(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.RecordBa
 def item_pairs(baskets: DataFrame, basket: str = "user_id", item: str = "business_id", least: int = 5, lift: float | None = None, block_items: int = 1024, flush: int = 2_000_000) -> DataFrame:
     """Pairs of items that at least `least` baskets hold: (b1, b2, c, n1, n2, lift), b1 < b2, c * N / (n1 * n2) being the lift.
 
-    baskets has distinct (basket, item) without nulls; N counts all baskets. With `lift`, only pairs with c * N >= lift * n1 * n2.
+    Repeated rows count once, rows with a null are left out; N counts all baskets. With `lift`, only pairs with c * N >= lift * n1 * n2.
     An empty table gives no rows.
 
     Blocked Gram matrix: each basket is a binary row; rows are cut into blocks of about `block_items` items, a task sums the
@@ -56,7 +56,8 @@ def item_pairs(baskets: DataFrame, basket: str = "user_id", item: str = "busines
     of any size is thus spread over tasks. The counts are normalised by the marginals. Items in fewer than `least` baskets
     can't be in a pair, nor, as c <= the smaller n, items in more than N / lift; they are left out before.
     """
-    rows = written(baskets.select(F.col(basket).alias("basket"), F.col(item).alias("item")), "baskets")
+    rows = baskets.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null")
+    rows = written(rows.distinct(), "baskets")
     total = rows.agg(F.count_distinct("basket")).first()[0]
     marginal = rows.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     if lift:
@@ -64,7 +65,7 @@ def item_pairs(baskets: DataFrame, basket: str = "user_id", item: str = "busines
     marginal = written(marginal, "marginals")
     items = numbered(marginal, "item", "number")
     marginal = marginal.join(items, "item")
-    kept = written(rows.join(items, "item").select(F.xxhash64("basket").alias("hash"), "basket", "number"), "kept")
+    kept = written(rows.join(items, "item").select("basket", "number"), "kept")
     sizes = kept.groupBy("basket").agg(F.count("*").alias("size")).where("size > 1")
     # The basket's string keeps baskets apart; Arrow then carries a number for it.
     names = numbered(sizes, "basket", "record")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oremill.functions.ids import rating_pairs, valid_id
+from oremill.functions.ids import valid_id, valid_pairs
 from oremill.llm import bpe, components, cooccur, leaks, simjoin, terms, topn
 from oremill.llm import sentences as sentence
 
@@ -28,18 +28,18 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Businesses with at least 5 common users, three times as many as by chance."""
-    return cooccur.item_pairs(rating_pairs(_table(spark, folder, "review")), least=5, lift=3).select("b1", "b2")
+    return cooccur.item_pairs(valid_pairs(_table(spark, folder, "review")), least=5, lift=3).select("b1", "b2")
 
 
 def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of businesses with at least 5 common users, with counts and lift."""
-    pairs = cooccur.item_pairs(rating_pairs(_table(spark, folder, "review")), least=5)
+    pairs = cooccur.item_pairs(valid_pairs(_table(spark, folder, "review")), least=5)
     return pairs.withColumn("lift", F.round("lift", 6))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Businesses of 3 or more users whose user sets have a Jaccard similarity of 0.5 or more."""
-    return simjoin.similar_sets(rating_pairs(_table(spark, folder, "review"))).select("b1", "b2")
+    return simjoin.similar_sets(valid_pairs(_table(spark, folder, "review"))).select("b1", "b2")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,8 +62,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every user and business of the state extract with its group."""
-    pairs = _table(spark, folder, "sample_data").select(valid_id("user_id").alias("user_id"), valid_id("business_id").alias("business_id"))
-    return components.linked_groups(pairs, "user_id", "business_id")
+    return components.linked_groups(valid_pairs(_table(spark, folder, "sample_data")), "user_id", "business_id")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

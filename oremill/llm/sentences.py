@@ -61,6 +61,9 @@ _CLUSTER = re.compile(rf"[{re.escape(MARKS)};\u037e][{re.escape(MARKS)};\u037e{I
 _EMOJI = re.compile("\\s*(?:[\U0001f000-\U0001faff\u2600-\u27bf\u2b00-\u2bff\u2300-\u23ff\ufe0f\u20e3]|\u200d(?=[\U0001f000-\U0001faff\u2600-\u27bf]))+")
 _DROP = {ord(c): None for c in INVISIBLE}
 
+#: Quotations and brackets in one another that are followed; more open ones are taken for unclosed.
+DEEPEST = 40
+
 #: Costs and gains of the spans. A boundary inside a quotation or bracket is no candidate at all.
 SURE, LIKELY, EMPTY, LONG, LONG_FROM = 4.0, 2.0, -9.0, 0.002, 600
 
@@ -104,7 +107,10 @@ def _matched(s: str) -> tuple[dict[int, int], list[tuple[int, int]]]:
         if c not in _QUOTABLE:
             continue
         before, after = s[i - 1] if i else " ", s[i + 1] if i + 1 < n else " "
-        closes = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][1]), -1)
+        closes = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][1]), -1) if c in CLOSERS else -1
+        if len(stack) > DEEPEST:
+            del stack[0]  # so far out, it is no longer waited for
+            closes = max(closes - 1, -1)
         if c == '"':
             opening = (before.isspace() or before in BRACKETS or before in MARKS and not closes >= 0) and not after.isspace()
             if closes >= 0 and not (opening and before.isspace()):
@@ -137,6 +143,7 @@ class _Block:
         self.s = s
         self.pairs, outer = _matched(s) if not _QUOTABLE.isdisjoint(s) else ({}, [])
         self.outer = outer
+        self.opens = set(self.pairs.values())
         upper = sum(c.isupper() for c in s)
         lower = sum(c.islower() for c in s)
         #: Whether capitals tell anything here.
@@ -201,7 +208,7 @@ class _Block:
                     self._put(end, score)
 
     def _opens(self, k: int) -> bool:
-        return any(o == k for o in self.pairs.values()) or s_opens(self.s, k)
+        return k in self.opens or s_opens(self.s, k)
 
     def _put(self, end: int, score: float | tuple[int, float, float]) -> None:
         if m := _EMOJI.match(self.s, end):
@@ -346,7 +353,7 @@ class _Block:
             token = _plain(left.group()) if left else ""
             if token in MAYBE or token in NEVER:
                 return
-        led = s[:start].rstrip()
+        led = s[max(0, start - 40) : start].rstrip()
         lead = led[-1:] in (",", ":", "：", "，", "、", "﹕")
         if self.cased and (char.isupper() or char.islower()):
             self._put(end, (start, SURE, SURE if lead else LIKELY) if char.isupper() else (start, -SURE * 3, -SURE * 3))

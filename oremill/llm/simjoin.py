@@ -48,7 +48,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], ratio: float, agree: int) ->
 def similar_sets(rows: DataFrame, record: str = "business_id", value: str = "user_id", threshold: float = 0.5, least_size: int = 3, trees: int = 40, recall: float = 0.9999, block_rows: int = 4096) -> DataFrame:
     """Pairs of records whose value sets have a Jaccard similarity of at least `threshold`: (b1, b2, c, n1, n2, sim), b1 < b2.
 
-    rows has distinct (record, value) without nulls; sets below `least_size` are left out. An empty table gives no rows.
+    Repeated rows count once, rows with a null are left out; sets below `least_size` are left out. An empty table gives no rows.
 
     Sorted sketch forest: a record has one minhash signature a tree, whose values come from the tree's own hash functions. Rows are
     ordered by tree and signature prefix, and members with a common prefix are neighbours. The prefix deepens as long as a pair
@@ -56,7 +56,8 @@ def similar_sets(rows: DataFrame, record: str = "business_id", value: str = "use
     threshold drop out (a pair at 0.5 loses in the sketch with probability 2e-6); the rest are verified exactly on the sets.
     Prefixes that hold more than a thousandth of the rows are split into pairs of blocks.
     """
-    rows = rows.select(F.col(record).alias("record"), F.col(value).alias("value"))
+    rows = rows.select(F.col(record).alias("record"), F.col(value).alias("value")).where("record is not null and value is not null")
+    rows = written(rows.distinct(), "sets")
     depth = depth_for(trees, threshold, recall)
     hashes = trees * depth
     low = [F.min(F.xxhash64("value", F.lit(i))).alias(f"h{i}") for i in range(max(hashes, SKETCH))]

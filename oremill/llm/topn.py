@@ -120,7 +120,7 @@ def top_items(rows: DataFrame, group: str, item: str, score: str, n: int = 5, fa
     runs = clean.sortWithinPartitions("grp", F.desc("score"), "item")
     runs = runs.select("grp", F.lit(0).alias("bucket"), F.spark_partition_id().cast("bigint").alias("run"), "score", "item")
     best = runs.mapInArrow(lambda b: _cut(b, n), _COLUMNS)
-    count = clean.rdd.getNumPartitions()
+    count = max(1, clean.rdd.getNumPartitions())
     while True:
         buckets = -(-count // fan_in)
         best = best.withColumn("bucket", F.pmod("run", F.lit(buckets)).cast("int"))
