@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oremill.functions.shared import written
 from oremill.functions.text import PUNCTUATION_AND_DIGITS, clean_word, whitespace_tokens
 
 
@@ -25,7 +26,8 @@ def document_frequency(words: DataFrame) -> DataFrame:
 def tfidf_profile(reviews: DataFrame, stopwords: DataFrame, k: int = 200) -> DataFrame:
     """(business_id, word, score, rank): the k words with the highest (count / highest count) * log2(N / n_word), ties by word; N counts the
     businesses with a review. A business without words has no rows."""
-    words = document_words(reviews, stopwords)
+    # Read three times: tokenising once is worth a table.
+    words = written(document_words(reviews, stopwords), "words")
     total = reviews.where("business_id is not null").agg(F.count_distinct("business_id")).first()[0]
     top = words.groupBy("business_id").agg(F.max("n").alias("top"))
     scored = words.join(document_frequency(words), "word").join(top, "business_id")
@@ -48,7 +50,7 @@ def content_scores(pairs: DataFrame, users: DataFrame, businesses: DataFrame, th
     stay repeated; a pair of which one side has no profile drops out."""
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
-    users, businesses = users.select("user_id", "word"), businesses.select("business_id", "word")
+    users, businesses = written(users.select("user_id", "word"), "users"), written(businesses.select("business_id", "word"), "businesses")
     wanted = pairs.groupBy("user_id", "business_id").agg(F.count("*").alias("times"))
     common = wanted.join(businesses, "business_id").join(users, ["user_id", "word"]).groupBy("user_id", "business_id").agg(F.count("*").alias("n"), F.first("times").alias("times"))
     own = users.groupBy("user_id").agg(F.count("*").alias("nu"))

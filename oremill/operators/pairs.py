@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_groups(rows: DataFrame, member: str, group: str, least: int = 1, value: str | None = None, hot: int = 10_000) -> DataFrame:
+def shared_groups(rows: DataFrame, member: str, group: str, least: int = 1, value: str | None = None, hot: int = 1000) -> DataFrame:
     """Pairs of members with at least `least` common groups: (left, right, n) with left < right; with a value also the sums sx, sy, sxx, syy, sxy
     over the common groups, x being the left member's. rows has distinct (member, group) without nulls.
 

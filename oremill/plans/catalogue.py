@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oremill.functions.ids import valid_id
+from oremill.functions.shared import written
 from oremill.operators import cf, content, explore, graph, itemsets, multivalue, similarity
 from oremill.plans import oracle
 from oremill.sources import readers, sinks
@@ -188,7 +189,7 @@ def user_profile(spark: SparkSession, folder: str) -> DataFrame:
 def content_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of the profiles of all users and the businesses they reviewed."""
     reviews = readers.reviews(spark, folder)
-    profile = content.tfidf_profile(reviews, _stopwords(spark, folder), 20)
+    profile = written(content.tfidf_profile(reviews, _stopwords(spark, folder), 20), "profile")
     return content.content_scores(reviews.select("user_id", "business_id"), content.user_profile(reviews, profile, 20), profile)
 
 
