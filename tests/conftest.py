@@ -11,7 +11,12 @@ os.environ["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__fil
 def spark():
     from oremill.session import local_session
 
-    return local_session(cpus=4, memory="4g", partitions=4, name="tests")
+    session = local_session(cpus=4, memory="4g", partitions=2, name="tests")
+    # Compiling a plan, and planning anew after each stage, takes longer than running it on tables this small.
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    return session
 
 
 def make_id(name: str) -> str:
