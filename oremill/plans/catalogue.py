@@ -134,7 +134,7 @@ def frequent_all(spark: SparkSession, folder: str) -> DataFrame:
 def frequent_businesses(spark: SparkSession, folder: str) -> DataFrame:
     """Sets of businesses that the same 10 or more users reviewed."""
     rows = itemsets.baskets(readers.reviews(spark, folder), "user_id", "business_id")
-    return _sets(itemsets.frequent_itemsets(rows, 10, most_size=2))
+    return _sets(itemsets.frequent_itemsets(rows, 10))
 
 
 def itemset_report(spark: SparkSession, folder: str) -> DataFrame:
