@@ -183,14 +183,14 @@ def tfidf_top(spark: SparkSession, folder: str) -> DataFrame:
 
 def user_profile(spark: SparkSession, folder: str) -> DataFrame:
     reviews = readers.reviews(spark, folder)
-    return content.user_profile(reviews, content.tfidf_profile(reviews, _stopwords(spark, folder), 20), 20)
+    return content.user_profile(reviews, content.tfidf_profile(reviews, _stopwords(spark, folder)))
 
 
 def content_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of the profiles of all users and the businesses they reviewed."""
     reviews = readers.reviews(spark, folder)
-    profile = written(content.tfidf_profile(reviews, _stopwords(spark, folder), 20), "profile")
-    return content.content_scores(reviews.select("user_id", "business_id"), content.user_profile(reviews, profile, 20), profile)
+    profile = written(content.tfidf_profile(reviews, _stopwords(spark, folder)), "profile")
+    return content.content_scores(reviews.select("user_id", "business_id"), content.user_profile(reviews, profile), profile)
 
 
 # Collaborative filtering ----------------------------------------------------------------------------------------------

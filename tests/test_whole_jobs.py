@@ -34,3 +34,27 @@ def test_frequent_businesses_of_every_size(spark, folder):
     got = catalogue.frequent_businesses(spark, folder(("review", rows, REVIEW))).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert max(size for _, size, _ in want) == 5
+
+
+def test_profiles_keep_200_words(spark, folder):
+    # Each business has 220 words that no other has, so that all score alike and ties go by word.
+    words = ["".join(x) for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=2)]
+    shops = {make_id("b1"): words[:220], make_id("b2"): words[220:440]}
+    one, both = make_id("u1"), make_id("u2")
+    visits = [(one, make_id("b1")), (both, make_id("b1")), (both, make_id("b2"))]
+    rows = [(i, u, b, 3.0, "2014-01-01", " ".join(shops[b]), LOADED) for i, (u, b) in enumerate(visits)]
+    at = folder(("review", rows, REVIEW), ("stopwords", [("the",)], "value string"))
+    got = {(r.user_id, r.word, r["rank"]) for r in catalogue.user_profile(spark, at).collect()}
+    assert got == {(u, w, k) for u in (one, both) for k, w in enumerate(words[:200], 1)}
+    # The second user's 200 words are the first business's, so that nothing is left in common with the other.
+    assert {tuple(r) for r in catalogue.content_scores(spark, at).collect()} == {(one, make_id("b1"), 1.0), (both, make_id("b1"), 1.0)}
+
+
+def test_content_scores_use_words_past_the_20th(spark, folder):
+    words = ["".join(x) for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=2)]
+    shops = {make_id("b1"): words[:40], make_id("b2"): words[40:100]}
+    user = make_id("u1")
+    rows = [(i, user, b, 3.0, "2014-01-01", " ".join(held), LOADED) for i, (b, held) in enumerate(shops.items())]
+    at = folder(("review", rows, REVIEW), ("stopwords", [("the",)], "value string"))
+    want = {(user, b, round(len(held) / (100 * len(held)) ** 0.5, 6)) for b, held in shops.items()}
+    assert {tuple(r) for r in catalogue.content_scores(spark, at).collect()} == want
