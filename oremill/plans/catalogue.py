@@ -64,7 +64,7 @@ def partition_sizes_default(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def partition_sizes_custom(spark: SparkSession, folder: str) -> DataFrame:
-    return explore.partition_profile(readers.reviews(spark, folder), PARTS, "business_id")
+    return explore.partition_profile(readers.reviews(spark, folder).where("business_id is not null"), PARTS, "business_id")
 
 
 def businesses_over_n(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +72,7 @@ def businesses_over_n(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def state_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return explore.state_pairs(readers.reviews(spark, folder), readers.businesses(spark, folder), "NV")
+    return explore.state_pairs(readers.reviews(spark, folder).where("user_id is not null"), readers.businesses(spark, folder), "NV")
 
 
 # Frequent itemsets ----------------------------------------------------------------------------------------------------
@@ -190,7 +190,8 @@ def content_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of the profiles of all users and the businesses they reviewed."""
     reviews = readers.reviews(spark, folder)
     profile = written(content.tfidf_profile(reviews, _stopwords(spark, folder)), "profile")
-    return content.content_scores(reviews.select("user_id", "business_id"), content.user_profile(reviews, profile), profile)
+    pairs = reviews.select("user_id", "business_id").where("user_id is not null and business_id is not null")
+    return content.content_scores(pairs, content.user_profile(reviews, profile), profile)
 
 
 # Collaborative filtering ----------------------------------------------------------------------------------------------

@@ -58,3 +58,29 @@ def test_content_scores_use_words_past_the_20th(spark, folder):
     at = folder(("review", rows, REVIEW), ("stopwords", [("the",)], "value string"))
     want = {(user, b, round(len(held) / (100 * len(held)) ** 0.5, 6)) for b, held in shops.items()}
     assert {tuple(r) for r in catalogue.content_scores(spark, at).collect()} == want
+
+
+def test_reviews_count_unless_they_lack_an_id_the_query_needs(spark, folder):
+    u1, u2, b1, b2 = (make_id(x) for x in ("u1", "u2", "b1", "b2"))
+    full = [(u1, b1, "ale"), (u2, b1, "ale"), (u1, b2, "rye")]
+    lacking = [(None, b1, "ale bun"), ("unknown", b1, "ale"), (" ", b2, "bun"), (u2, "n/a", "bun"), (u2, None, "bun"), (None, None, "rye")]
+    rows = [(i, u, b, 5.0 if u in (u1, u2) else 2.0, "2014-01-01", t, LOADED) for i, (u, b, t) in enumerate(full + lacking)]
+    again = [(*rows[3][:6], datetime.datetime(2021, 1, 1))]
+    places = [(b1, "Pub", "NV"), (b2, "Deli", "NV")]
+    at = folder(("review", rows + again, REVIEW), ("stopwords", [("the",)], "value string"), ("business", places, "business_id string, categories string, state string"))
+
+    def of(name):
+        return sorted(tuple(r) for r in catalogue.queries()[name](spark, at).collect())
+
+    assert of("review_total") == of("reviews_in_year") == [(9,)]
+    assert of("distinct_users") == [(2,)]
+    assert of("top_users") == [(u1, 2), (u2, 3)]
+    assert of("top_words") == of("top_words_not_empty") == [("ale", 4), ("bun", 4), ("rye", 2)]
+    assert of("category_avg_stars") == [("Deli", 3.5), ("Pub", 3.5)]
+    assert sum(n for _, n in of("partition_sizes_default")) == 9
+    assert sum(n for _, n in of("partition_sizes_custom")) == 6
+    assert of("state_pairs") == sorted((u, b) for u, b, _ in full)
+    assert of("word_document_frequency") == [("ale", 1), ("bun", 2), ("rye", 1)]
+    assert [(b, w) for b, w, *_ in of("business_profile")] == [(b1, "ale"), (b1, "bun"), (b2, "bun"), (b2, "rye")]
+    assert {(u, b) for u, b, _ in of("content_scores")} == {(u, b) for u, b, _ in full}
+    assert {u for u, *_ in of("user_profile")} == {u1, u2}
