@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -401,18 +402,34 @@ def _cut(s: str) -> list[int]:
         first.append(p)
     best = [0.0]
     back = [-1]
-    far, far_at, seen = float("-inf"), -1, 0
+    # The two best starts of long spans, at different places of the text; the second stands in where the first opens a quotation or bracket.
+    far, far_at, far2, far2_at, seen = float("-inf"), -1, float("-inf"), -1, 0
     for i in range(1, len(places)):
         p = places[i]
         score = scores[i - 1] if i <= len(ends) else 0.0
         while places[seen] < p - LONG_FROM:
-            if best[seen] + LONG * places[seen] > far:
-                far, far_at = best[seen] + LONG * places[seen], seen
+            value = best[seen] + LONG * places[seen]
+            if value > far:
+                if far_at >= 0 and first[far_at] != first[seen]:
+                    far2, far2_at = far, far_at
+                far, far_at = value, seen
+            elif value > far2 and first[far_at] != first[seen]:
+                far2, far2_at = value, seen
             seen += 1
         top, top_at = float("-inf"), -1
         if far_at >= 0:
-            base = score[2] if isinstance(score, tuple) else score
-            top, top_at = far - LONG * (p - LONG_FROM) + base, far_at
+            paid = LONG * (p - LONG_FROM)
+            if not isinstance(score, tuple):
+                top, top_at = far - paid + score, far_at
+            else:
+                value, at = (far2, far2_at) if first[far_at] == score[0] else (far, far_at)
+                if at >= 0:
+                    top, top_at = value - paid + score[2], at
+                # A long span that starts at the opening mark has its own score.
+                for j in range(bisect_left(first, score[0], 0, seen), bisect_right(first, score[0], 0, seen)):
+                    own = best[j] + LONG * places[j] - paid + score[1]
+                    if own > top:
+                        top, top_at = own, j
         for j in range(seen, i):
             own = (score[1] if first[j] == score[0] else score[2]) if isinstance(score, tuple) else score
             if p - places[j] < 13 and not any(c.isalnum() for c in s[places[j] : p]):

@@ -79,3 +79,14 @@ def test_operator(spark):
     rows = sorted(sentences(df).collect(), key=str)
     assert rows == sorted([(1, 0, 4), (1, 5, 9), (1, 0, 4), (1, 5, 9), (None, 0, 4)], key=str)
     assert sentences(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("words", [25, 40, 150])
+def test_bracket_of_any_length_on_its_own_is_a_sentence(words):
+    parts = ["We went there.", "(" + "some words about it " * words + "too.)", "The food was good."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences_of(text)] == parts
+    # Inside a sentence it does not end it, however long.
+    inside = ["We went there " + parts[1] + " on Sunday.", "The food was good."]
+    text = " ".join(inside)
+    assert [text[a:b] for a, b in sentences_of(text)] == inside
