@@ -391,8 +391,8 @@ def _cut(s: str) -> list[int]:
     ends, scores = block.ends, block.scores
     if not ends:
         return []
-    if all(not isinstance(x, tuple) and x >= SURE for x in scores) and all(b - a > 12 for a, b in zip([0, *ends], ends, strict=False)):
-        # Nothing to weigh: every candidate is a sure end, and no span is empty or pays.
+    if all(not isinstance(x, tuple) and x >= SURE for x in scores) and all(b - a > 12 for a, b in zip([0, *ends], [*ends, len(s)], strict=True)):
+        # Nothing to weigh: every candidate is a sure end, and no span, the last one included, is empty or pays.
         return ends
     places = [0, *ends, len(s)]
     first = []

@@ -90,3 +90,9 @@ def test_bracket_of_any_length_on_its_own_is_a_sentence(words):
     inside = ["We went there " + parts[1] + " on Sunday.", "The food was good."]
     text = " ".join(inside)
     assert [text[a:b] for a, b in sentences_of(text)] == inside
+
+
+@pytest.mark.parametrize("text", ["Nice! :)", "Food was really great! :)", "Food was really great here on Sunday! The staff was friendly too! :)"])
+def test_wordless_rest_stays_with_its_sentence_at_any_length(text):
+    assert sentences_of(text)[-1][1] == len(text)
+    assert all(any(c.isalnum() for c in text[a:b]) for a, b in sentences_of(text))
