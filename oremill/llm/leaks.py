@@ -134,7 +134,7 @@ def _reach(item: list, text: list, most: int) -> list[int]:
 class Passages:
     """The items' passages, indexed by the fingerprints of their windows."""
 
-    def __init__(self, items: list[tuple[int, str]], words: int = 12, singles: int = 30, one_in: int = 8, window: int = 5, single_window: int = 7, radius: int = 3) -> None:
+    def __init__(self, items: list[tuple[int, str]], words: int = 12, singles: int = 30, one_in: int = 8, window: int = 5, single_window: int = 6, radius: int = 3) -> None:
         self.one_in = one_in
         self.ids = [i for i, _ in items]
         self.texts = [words_of(t) for _, t in items]

@@ -84,3 +84,13 @@ def test_operator(spark):
     got = sorted(leaks.leaked(docs, items).collect())
     assert got == [(1, 70), (1, 71), (4, 70), (4, 71), (5, 74)]
     assert leaks.leaked(docs.limit(0), items).collect() == leaks.leaked(docs, items.limit(0)).collect() == []
+
+
+def test_dense_edits_in_single_characters():
+    for sizes in ((6, 5, 6, 5, 6), (6, 6, 6, 6, 5, 6), (6, 6, 6, 6, 6, 6, 6)):
+        part = list(CHINESE[10 : 10 + sum(sizes) + len(sizes) - 1])
+        at = -1
+        for size in sizes[:-1]:
+            at += size + 1
+            part[at] = "龘"
+        assert carries(f"{NOISE} {''.join(part)} {NOISE}", CHINESE), sizes
