@@ -15,7 +15,7 @@ from oremill.llm.blocks import block_pairs, index_pairs, runs, starts_of
 
 
 def _gram(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.RecordBatch]:
-    """Sum of the transpose-products of the baskets' binary rows, block by block: (left, right, c) with left < right."""
+    """Counts of the pairs that the baskets hold, listed by basket and pair of its blocks: (left, right, c) with left < right."""
     schema = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("c", pa.int64())])
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
@@ -51,9 +51,9 @@ def item_pairs(baskets: DataFrame, basket: str = "user_id", item: str = "busines
     Repeated rows count once, rows with a null are left out; N counts all baskets. With `lift`, only pairs with c * N >= lift * n1 * n2.
     An empty table gives no rows.
 
-    Blocked Gram matrix: each basket is a binary row; rows are cut into blocks of about `block_items` items, a task sums the
-    transpose-products of its record block for each pair of item blocks, and the sums of all record blocks are added up. A basket
-    of any size is thus spread over tasks. The counts are normalised by the marginals. Items in fewer than `least` baskets
+    The off-diagonal of a Gram matrix, counted pair by pair: a task lists the pairs of each of its baskets and counts them, and the
+    counts of all tasks are added up. A basket of more than `block_items` items is cut into blocks of about that size, and its pairs
+    of blocks go to different tasks, so that a basket of any size is spread. The counts are normalised by the marginals. Items in fewer than `least` baskets
     can't be in a pair, nor, as c <= the smaller n, items in more than N / lift; they are left out before.
     """
     rows = baskets.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null")
