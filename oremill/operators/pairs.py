@@ -2,43 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most rows of a group that are paired in one piece of work; larger groups are cut into blocks of about this size.
+BLOCK = 1000
 
-def shared_groups(rows: DataFrame, member: str, group: str, least: int = 1, value: str | None = None, hot: int = 1000) -> DataFrame:
-    """Pairs of members with at least `least` common groups: (left, right, n) with left < right; with a value also the sums sx, sy, sxx, syy, sxy
-    over the common groups, x being the left member's. rows has distinct (member, group) without nulls.
 
-    A group of k members makes k * k / 2 pairs. A pair with `least` common groups has one outside the least - 1 largest of them, so these are
-    not expanded if they have over `hot` members: pairs come from the other groups, and what the large ones add is looked up for
-    them. The join is by group and is aggregated by pair before the shuffle; the pair's ends are compared in the join.
+def met(rows: DataFrame, keys: list[str], member: str, carried: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """Pairs of members with equal keys: (keys.., left, right, left_c, right_c for each carried column c), left < right, once for every key they share.
+
+    A key of more than `block` rows is cut into blocks of about that size by a hash of the member, and every pair of its blocks is a join key of its own:
+    no key's pairs come together in one task, and no join key has more than about block * block pairs. Rows with a null key meet nothing.
     """
-    columns = [F.col(member).alias("m"), F.col(group).alias("g"), *([F.col(value).cast("double").alias("v")] if value else [])]
-    rows = rows.select(*columns)
-    skipped: list = []
-    if least > 1:
-        sizes = rows.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > hot)
-        skipped = [r.g for r in sizes.orderBy(F.desc("k"), "g").limit(least - 1).collect()]
-    base = rows.where(~F.col("g").isin(skipped)) if skipped else rows
-    left = base.select(F.col("m").alias("left"), "g", *([F.col("v").alias("x")] if value else []))
-    right = base.select(F.col("m").alias("right"), "g", *([F.col("v").alias("y")] if value else []))
-    met = left.join(right, "g").where(F.col("left") < F.col("right"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_k")).where(F.col("_k") > block).select(*keys, F.ceil(F.col("_k") / block).cast("int").alias("_pieces"))
+    placed = rows.join(sizes, keys, "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+    placed = placed.withColumn("_own", F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_pieces")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))
+    one = placed.select(*keys, F.col("_own").alias("_a"), every.alias("_b"), F.col(member).alias("left"), *(F.col(c).alias(f"left_{c}") for c in carried))
+    two = placed.select(*keys, every.alias("_a"), F.col("_own").alias("_b"), F.col(member).alias("right"), *(F.col(c).alias(f"right_{c}") for c in carried))
+    return one.join(two, [*keys, "_a", "_b"]).where(F.col("left") < F.col("right")).drop("_a", "_b")
+
+
+def _sums(value: str | None) -> list:
     sums = [F.count("*").alias("n")]
     if value:
-        x, y = F.col("x"), F.col("y")
+        x, y = F.col("left_v"), F.col("right_v")
         sums += [F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy")]
-    pairs = met.groupBy("left", "right").agg(*sums).where(F.col("n") >= least - len(skipped))
-    for g in skipped:
-        of = rows.where(F.col("g") == F.lit(g))
-        one = of.select(F.col("m").alias("left"), F.lit(1).alias("has_left"), *([F.col("v").alias("x")] if value else []))
-        two = of.select(F.col("m").alias("right"), F.lit(1).alias("has_right"), *([F.col("v").alias("y")] if value else []))
-        both = F.col("has_left").isNotNull() & F.col("has_right").isNotNull()
-        add = lambda name, more: (F.col(name) + F.when(both, more).otherwise(0)).alias(name)  # noqa: E731, B023
-        joined = pairs.join(one, "left", "left").join(two, "right", "left")
-        more = [add("n", F.lit(1))]
-        if value:
-            x, y = F.col("x"), F.col("y")
-            more += [add("sx", x), add("sy", y), add("sxx", x * x), add("syy", y * y), add("sxy", x * y)]
-        pairs = joined.select("left", "right", *more)
-    return pairs.where(F.col("n") >= least) if skipped else pairs
+    return sums
+
+
+def shared_by(pairs: DataFrame, rows: DataFrame, member: str, group: str, value: str | None = None) -> DataFrame:
+    """(left, right, n) and with a value sx, sy, sxx, syy, sxy, as shared_groups, of given distinct pairs (left, right) only; pairs without a common group drop out."""
+    more = [F.col(value).cast("double").alias("v")] if value else []
+    rows = rows.select(F.col(member).alias("m"), F.col(group).alias("g"), *more)
+    one = rows.withColumnsRenamed({"m": "left", "v": "left_v"})
+    two = rows.withColumnsRenamed({"m": "right", "v": "right_v"})
+    return pairs.select("left", "right").join(one, "left").join(two, ["right", "g"]).groupBy("left", "right").agg(*_sums(value))
+
+
+def shared_groups(rows: DataFrame, member: str, group: str, least: int = 1, value: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Pairs of members with at least `least` common groups: (left, right, n) with left < right; with a value also the sums sx, sy, sxx, syy, sxy
+    over the common groups, x being the left member's. rows has distinct (member, group) without nulls.
+
+    With least = 1 every pair of a group is a result, and is counted group by group. Otherwise groups are ordered by size, and each member leaves out its
+    least - 1 largest: the smallest group that a pair of `least` common ones shares is among the others of both. Pairs that meet in what is left
+    are then counted over all their groups. So a group is only expanded among members that are in least - 1 larger ones, and the largest
+    least - 1 groups are not expanded at all. Groups are expanded in blocks (see met).
+    """
+    more = [F.col(value).cast("double").alias("v")] if value else []
+    rows = rows.select(F.col(member).alias("m"), F.col(group).alias("g"), *more)
+    carried = ("v",) if value else ()
+    if least <= 1:
+        return met(rows, ["g"], "m", carried, block).groupBy("left", "right").agg(*_sums(value))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("k"))
+    # Spark keeps only the first rows of each member's before the shuffle (a window group limit).
+    order = Window.partitionBy("m").orderBy(F.desc("k"), F.desc("g"))
+    largest = rows.select("m", "g").join(sizes, "g").withColumn("r", F.row_number().over(order)).where(F.col("r") < least).select("m", "g")
+    rest = rows.select("m", "g").join(largest, ["m", "g"], "left_anti")
+    pairs = met(rest, ["g"], "m", (), block).select("left", "right").distinct()
+    return shared_by(pairs, rows, "m", "g", "v" if value else None).where(F.col("n") >= least)

@@ -205,6 +205,10 @@ def user_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return cf.user_similarity(readers.ratings(spark, folder))
 
 
+def user_lsh_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return cf.user_lsh_pairs(readers.ratings(spark, folder))
+
+
 def user_similarity_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return cf.user_similarity(readers.ratings(spark, folder), mode="minhash")
 
@@ -294,7 +298,7 @@ _QUERIES = (
     review_total, reviews_in_year, distinct_users, top_users, top_words, top_words_not_empty, exploration_report, category_avg_stars, partition_sizes_default,
     partition_sizes_custom, businesses_over_n, state_pairs, baskets_by_user, baskets_by_item, baskets_min_size, frequent_singles, frequent_pairs,
     frequent_triples, frequent_all, frequent_businesses, son_candidates, itemset_report, minhash_signatures, lsh_pairs, jaccard_pairs, user_signatures,
-    word_document_frequency, business_profile, tfidf_top, user_profile, content_scores, item_similarity, user_similarity, user_similarity_minhash,
+    word_document_frequency, business_profile, tfidf_top, user_profile, content_scores, item_similarity, user_similarity, user_lsh_pairs, user_similarity_minhash,
     predict_item_based, predict_user_based, graph_edges, graph_vertices, graph_degrees, label_propagation, connected_components, edge_betweenness,
     edge_removal_first_round, modularity_of_components, girvan_newman, gn_dendrogram, community_report, betweenness_report, p2_found,
 )

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from oremill.operators import similarity
-from oremill.operators.pairs import shared_groups
+from oremill.operators.pairs import met, shared_groups
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +28,7 @@ def test_signatures_follow_the_formula(sets):
     data = by_record(sets)
     users = sorted(set().union(*data.values()))
     m, p = len(users), 26189
-    got = {(r.id, r.band): r.hash for r in similarity.minhash_signatures(sets, n=8).collect()}
+    got = {(r.id, r.band): r.hash for r in similarity.minhash_signatures(sets, n=8, start_hash=0).collect()}
     for b, held in data.items():
         for i in range(8):
             h = min(((i * ((5 * j + 2) % m) + i * (((3 * j + 3) % p) % m) + i * i) % p) % m for j in map(users.index, held))
@@ -58,9 +58,40 @@ def test_seeded_signatures_repeat(sets):
     assert one != similarity.seeded_signatures(sets, n=5, seed=2).orderBy("id", "band").collect()
 
 
-def test_large_groups_are_looked_up(spark, sets):
-    """Groups over `hot` are not expanded, with the same result."""
+def test_large_groups_are_cut_into_blocks(spark, sets):
+    """The same result whatever the size of the blocks, for members with one common group and with several."""
     rows = sets.selectExpr("business_id as m", "user_id as g", "cast(length(business_id || user_id) + hash(business_id, user_id) % 5 as double) as v")
-    for least in (2, 3):
-        plain = shared_groups(rows, "m", "g", least, "v").orderBy("left", "right").collect()
-        assert plain and plain == shared_groups(rows, "m", "g", least, "v", hot=1).orderBy("left", "right").collect()
+    held: dict = {}
+    for r in rows.collect():
+        held.setdefault(r.m, {})[r.g] = r.v
+    for least in (1, 2, 3):
+        want = {}
+        for a in held:
+            for b in held:
+                common = held[a].keys() & held[b].keys()
+                if a < b and len(common) >= least:
+                    want[a, b] = (len(common), sum(held[a][g] for g in common), sum(held[b][g] for g in common), sum(held[a][g] * held[b][g] for g in common))
+        for block in (1, 3, 1000):
+            got = {(r.left, r.right): (r.n, r.sx, r.sy, r.sxy) for r in shared_groups(rows, "m", "g", least, "v", block=block).collect()}
+            assert want and got == want, (least, block)
+
+
+def test_three_hot_groups(spark):
+    """No join key of any of three groups that all members are in has more than its blocks' pairs, and the result is whole."""
+    users = [f"u{i:03d}" for i in range(120)]
+    rows = spark.createDataFrame([(u, g) for u in users for g in ("h1", "h2", "h3")] + [(u, f"own{u}") for u in users], "m string, g string")
+    pairs = met(rows, ["g"], "m", block=10)
+    assert pairs.count() == 3 * 120 * 119 // 2
+    for least in (1, 2, 3):
+        got = shared_groups(rows, "m", "g", least, block=10)
+        assert got.count() == 120 * 119 // 2 and {r.n for r in got.collect()} == {3}
+    assert shared_groups(rows, "m", "g", 4, block=10).collect() == []
+
+
+def test_lsh_buckets_of_any_size(spark, sets):
+    signatures = similarity.minhash_signatures(sets, n=6)
+    by: dict = {}
+    for r in signatures.collect():
+        by.setdefault((r.band, r.hash), []).append(r.id)
+    want = {(a, b) for held in by.values() for a in held for b in held if a < b}
+    assert sorted(map(tuple, similarity.lsh_pairs(signatures).collect())) == sorted(want)
