@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from oremill.operators.similarity import seeded_coefficients
-
 SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
@@ -13,7 +11,7 @@ def _id(column: str) -> str:
 
 
 RV = f"""rv AS (SELECT review_id, any_value(u) AS user_id, any_value(b) AS business_id, any_value(stars) AS stars, any_value(date) AS date, any_value(text) AS text
- FROM (SELECT *, {_id("user_id")} AS u, {_id("business_id")} AS b FROM review) WHERE review_id IS NOT NULL AND u IS NOT NULL AND b IS NOT NULL GROUP BY 1)"""
+ FROM (SELECT *, {_id("user_id")} AS u, {_id("business_id")} AS b FROM review) WHERE review_id IS NOT NULL GROUP BY 1)"""
 RT = f"""rt AS (SELECT u AS user_id, b AS business_id, max(stars) AS stars FROM (SELECT *, {_id("user_id")} AS u, {_id("business_id")} AS b FROM review)
  WHERE u IS NOT NULL AND b IS NOT NULL AND stars BETWEEN 1 AND 5 AND NOT isnan(stars) GROUP BY 1, 2)"""
 BZ = f"""bz AS (SELECT b AS business_id, max(categories) AS categories, max(upper(trim(state))) AS state
@@ -23,10 +21,10 @@ SW = "sw AS (SELECT DISTINCT lower(trim(value)) AS word FROM stopwords WHERE val
 EB = "eb AS (SELECT DISTINCT user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS basket, event_type AS item FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL)"
 SUPPORT = "sup AS (SELECT greatest(1, CAST(ceil(count(DISTINCT basket) / 20.0) AS BIGINT)) AS s FROM eb)"
 
-WORDS = f"""tok AS (SELECT unnest(string_split(lower(text), ' ')) AS t FROM rv),
+WORDS = f"""tok AS (SELECT unnest(string_split(lower(text), ' ')) AS t FROM rv WHERE text IS NOT NULL),
 wd AS (SELECT translate(t, '([,.!?:;])', '') AS word FROM tok WHERE t <> '')"""
 
-CONTENT = f"""tx AS (SELECT DISTINCT business_id, user_id, text FROM rv WHERE text IS NOT NULL),
+CONTENT = f"""tx AS (SELECT DISTINCT business_id, user_id, text FROM rv WHERE business_id IS NOT NULL AND text IS NOT NULL),
 tk AS (SELECT business_id, unnest(regexp_split_to_array(lower(text), '[{SPACE}]+')) AS t FROM tx),
 dw AS (SELECT business_id, word, count(*) AS n FROM (SELECT business_id, translate(t, '([,.!?:;])01"23456789-\\&', '') AS word FROM tk WHERE t <> '')
  WHERE word <> '' AND word NOT IN (SELECT word FROM sw) GROUP BY 1, 2),
@@ -34,8 +32,8 @@ df AS (SELECT word, count(*) AS businesses FROM dw GROUP BY 1), tp AS (SELECT bu
 nn AS (SELECT count(DISTINCT business_id) AS total FROM rv),
 sc AS (SELECT business_id, word, round(CAST(n AS DOUBLE) / top * log2(CAST(total AS DOUBLE) / businesses), 6) AS score FROM dw JOIN df USING (word) JOIN tp USING (business_id), nn),
 rk AS (SELECT business_id, word, score, row_number() OVER (PARTITION BY business_id ORDER BY score DESC, word) AS rank FROM sc)"""
-USERS = """vis AS (SELECT DISTINCT user_id, business_id FROM rv),
-uc AS (SELECT user_id, word, count(*) AS n FROM vis JOIN (SELECT * FROM rk WHERE rank <= 20) USING (business_id) GROUP BY 1, 2),
+USERS = """vis AS (SELECT DISTINCT user_id, business_id FROM rv WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
+uc AS (SELECT user_id, word, count(*) AS n FROM vis JOIN (SELECT * FROM rk WHERE rank <= 200) USING (business_id) GROUP BY 1, 2),
 up AS (SELECT user_id, word, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, word) AS rank FROM uc)"""
 
 
@@ -57,17 +55,44 @@ CANDIDATES = (
     + ") SELECT DISTINCT itemset, size FROM a JOIN pn USING (pid), sup, tot WHERE support >= ceil(CAST(s * n AS DOUBLE) / total)"
 )
 
+# Level by level: a set grows by a frequent business behind its last one, and is kept in its baskets if 10 of them hold it.
+FREQUENT_BUSINESSES = f"""WITH RECURSIVE {RV}, dp AS (SELECT DISTINCT user_id, business_id FROM rv WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
+one AS (SELECT user_id, business_id FROM dp QUALIFY count(*) OVER (PARTITION BY business_id) >= 10),
+held(user_id, itemset, tail, size) AS (SELECT user_id, business_id, business_id, CAST(1 AS BIGINT) FROM one UNION ALL
+ (SELECT h.user_id, h.itemset || ',' || o.business_id, o.business_id, h.size + 1 FROM held h JOIN one o ON o.user_id = h.user_id AND o.business_id > h.tail
+ QUALIFY count(*) OVER (PARTITION BY h.itemset, o.business_id) >= 10))
+SELECT itemset, size, count(*) AS support FROM held GROUP BY 1, 2"""
+
 INDEX = "ix AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS j FROM (SELECT DISTINCT user_id FROM rt)), mm AS (SELECT count(*) AS m FROM ix)"
 MINHASH = f"""WITH {RT}, {INDEX}, h AS (SELECT user_id, band, (((band * ((5 * j + 2) % m) + band * (((3 * j + 3) % 26189) % m) + band * band) % 26189) % m) AS v
  FROM ix, mm, range(1, 50) AS r(band)), sg AS (SELECT business_id AS id, band, min(v) AS hash FROM rt JOIN h USING (user_id) GROUP BY 1, 2)"""
 
 
-def _seeded() -> str:
-    rows = ", ".join(f"({i}, {a1}, {b1}, {a2}, {b2})" for i, (a1, b1, a2, b2) in enumerate(seeded_coefficients(40, 0), 1))
-    return f"""WITH {RT}, ix AS (SELECT business_id, row_number() OVER (ORDER BY business_id) - 1 AS j FROM (SELECT DISTINCT business_id FROM rt)), mm AS (SELECT count(*) AS m FROM ix),
-co(band, a1, b1, a2, b2) AS (VALUES {rows}),
+#: Band, a1, b1, a2 and b2 of the seeded family with seed 0 (fixed values).
+SEEDED = """
+    (1, 15683, 34019, 79357, 76481), (2, 15791, 36241, 78277, 16229), (3, 15901, 24061, 76481, 40387), (4, 16007, 38737, 75367, 35251),
+    (5, 16103, 27739, 74441, 37123), (6, 16229, 31963, 74507, 51473), (7, 16361, 22699, 74159, 39887), (8, 16453, 17401, 67523, 27277),
+    (9, 16573, 17401, 67211, 75367), (10, 16691, 16979, 66463, 56437), (11, 16787, 23789, 65881, 46049), (12, 16889, 66463, 64921, 53681),
+    (13, 16979, 17483, 64301, 27961), (14, 17041, 16979, 62137, 74159), (15, 17137, 16691, 61643, 64301), (16, 17231, 28661, 60107, 37171),
+    (17, 17333, 48847, 60089, 16979), (18, 17401, 31963, 59119, 36901), (19, 17483, 28307, 58757, 54983), (20, 17581, 58757, 56827, 22549),
+    (21, 17707, 46957, 56437, 37123), (22, 17827, 71023, 54983, 41413), (23, 17923, 24061, 53681, 16453), (24, 18041, 46957, 51899, 15791),
+    (25, 18127, 16889, 51341, 67523), (26, 18223, 35251, 51473, 66463), (27, 22549, 61643, 51839, 56827), (28, 22699, 15683, 51197, 54983),
+    (29, 23189, 39461, 48847, 28661), (30, 23297, 23549, 46957, 74159), (31, 23431, 28843, 46399, 66463), (32, 23549, 16573, 46049, 18127),
+    (33, 23789, 51197, 43973, 23189), (34, 24061, 23431, 41413, 17483), (35, 24371, 46399, 40387, 71809), (36, 24181, 16889, 39887, 16787),
+    (37, 27277, 28307, 39461, 40387), (38, 27551, 38737, 38737, 17041), (39, 27739, 27739, 37123, 46957), (40, 27961, 27551, 37171, 66463)
+"""
+
+
+def _seeded(source: str = "rt") -> str:
+    """Signatures of the users of a table of ratings."""
+    return f"""ix AS (SELECT business_id, row_number() OVER (ORDER BY business_id) - 1 AS j FROM (SELECT DISTINCT business_id FROM {source})), mm AS (SELECT count(*) AS m FROM ix),
+co(band, a1, b1, a2, b2) AS (VALUES {SEEDED}),
 h AS (SELECT business_id, band, ((band * ((a1 * j + b1) % m) + band * ((a2 * j + b2) % m) + band * band) % 10259) % m AS v FROM ix, mm, co),
-sg AS (SELECT user_id AS id, band, min(v) AS hash FROM rt JOIN h USING (business_id) GROUP BY 1, 2)"""
+sg AS (SELECT user_id AS id, band, min(v) AS hash FROM {source} JOIN h USING (business_id) GROUP BY 1, 2)"""
+
+
+#: Ratings of users with at least three businesses.
+RT3 = "rt3 AS (SELECT user_id, business_id FROM rt QUALIFY count(*) OVER (PARTITION BY user_id) >= 3)"
 
 
 JACCARD = f"""WITH {RT}, n AS (SELECT business_id AS b, count(*) AS n FROM rt GROUP BY 1),
@@ -140,15 +165,15 @@ def oracle_sql() -> dict[str, str]:
         "review_total": f"WITH {RV} SELECT count(*) AS total FROM rv",
         "reviews_in_year": f"WITH {RV} SELECT count(*) AS total FROM rv WHERE contains(date, '2014')",
         "distinct_users": f"WITH {RV} SELECT count(DISTINCT user_id) AS total FROM rv",
-        "top_users": f"WITH {RV} SELECT user_id, count(*) AS n FROM rv GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20",
+        "top_users": f"WITH {RV} SELECT user_id, count(*) AS n FROM rv WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20",
         "top_words": f"WITH {RV}, {SW}, {WORDS} SELECT word, count(*) AS n FROM wd WHERE word NOT IN (SELECT word FROM sw) GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
         "top_words_not_empty": f"WITH {RV}, {SW}, {WORDS} SELECT word, count(*) AS n FROM wd WHERE word <> '' AND word NOT IN (SELECT word FROM sw) GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
         "category_avg_stars": f"""WITH {RV}, {BZ}, ct AS (SELECT business_id, trim(c) AS category FROM (SELECT business_id, unnest(string_split(categories, ',')) AS c FROM bz WHERE categories IS NOT NULL) WHERE trim(c) <> '')
 SELECT category, round(avg(stars), 6) AS avg_stars FROM rv JOIN ct USING (business_id) WHERE stars BETWEEN 1 AND 5 AND NOT isnan(stars) GROUP BY 1""",
-        "partition_sizes_custom": f"""WITH {RV}, cs AS (SELECT list_sum(list_transform(string_split(business_id, ''), lambda c: ascii(c))) % 8 AS partition FROM rv)
+        "partition_sizes_custom": f"""WITH {RV}, cs AS (SELECT list_sum(list_transform(string_split(business_id, ''), lambda c: ascii(c))) % 8 AS partition FROM rv WHERE business_id IS NOT NULL)
 SELECT CAST(r.p AS INTEGER) AS partition, count(cs.partition) AS rows FROM range(8) AS r(p) LEFT JOIN cs ON cs.partition = r.p GROUP BY 1""",
-        "businesses_over_n": f"WITH {RV} SELECT business_id, count(*) AS n FROM rv GROUP BY 1 HAVING count(*) > 50",
-        "state_pairs": f"WITH {RV}, {BZ} SELECT user_id, business_id FROM rv WHERE business_id IN (SELECT business_id FROM bz WHERE state = 'NV')",
+        "businesses_over_n": f"WITH {RV} SELECT business_id, count(*) AS n FROM rv WHERE business_id IS NOT NULL GROUP BY 1 HAVING count(*) > 50",
+        "state_pairs": f"WITH {RV}, {BZ} SELECT user_id, business_id FROM rv WHERE user_id IS NOT NULL AND business_id IN (SELECT business_id FROM bz WHERE state = 'NV')",
         "baskets_by_user": _baskets("user_id", "business_id"),
         "baskets_by_item": _baskets("business_id", "user_id"),
         "baskets_min_size": _baskets("user_id", "business_id", " HAVING count(DISTINCT business_id) > 3"),
@@ -156,24 +181,24 @@ SELECT CAST(r.p AS INTEGER) AS partition, count(cs.partition) AS rows FROM range
         "frequent_pairs": _frequent((2,)),
         "frequent_triples": _frequent((3,)),
         "frequent_all": _frequent(range(1, 6)),
-        "frequent_businesses": f"""WITH {RV}, dp AS (SELECT DISTINCT user_id, business_id FROM rv), a AS (SELECT business_id AS itemset, CAST(1 AS BIGINT) AS size, count(*) AS support FROM dp GROUP BY 1
- UNION ALL SELECT x.business_id || ',' || y.business_id, CAST(2 AS BIGINT), count(*) FROM dp x JOIN dp y ON x.user_id = y.user_id AND x.business_id < y.business_id GROUP BY 1) SELECT * FROM a WHERE support >= 10""",
+        "frequent_businesses": FREQUENT_BUSINESSES,
         "son_candidates": CANDIDATES,
         "minhash_signatures": f"{MINHASH} SELECT id, CAST(band AS INTEGER) AS band, hash FROM sg",
         "lsh_pairs": f"{MINHASH} SELECT DISTINCT x.id AS b1, y.id AS b2 FROM sg x JOIN sg y ON x.band = y.band AND x.hash = y.hash AND x.id < y.id",
         "jaccard_pairs": JACCARD,
-        "user_signatures": f"{_seeded()} SELECT id, band, hash FROM sg",
+        "user_signatures": f"WITH {RT}, {_seeded()} SELECT id, band, hash FROM sg",
         "word_document_frequency": f"WITH {RV}, {SW}, {CONTENT} SELECT word, businesses FROM df",
         "business_profile": f"WITH {RV}, {SW}, {CONTENT} SELECT * FROM rk WHERE rank <= 200",
         "tfidf_top": f"WITH {RV}, {SW}, {CONTENT} SELECT * FROM rk WHERE rank <= 10",
-        "user_profile": f"WITH {RV}, {SW}, {CONTENT}, {USERS} SELECT * FROM up WHERE rank <= 20",
-        "content_scores": f"""WITH {RV}, {SW}, {CONTENT}, {USERS}, bp AS (SELECT business_id, word FROM rk WHERE rank <= 20), us AS (SELECT user_id, word FROM up WHERE rank <= 20),
+        "user_profile": f"WITH {RV}, {SW}, {CONTENT}, {USERS} SELECT * FROM up WHERE rank <= 200",
+        "content_scores": f"""WITH {RV}, {SW}, {CONTENT}, {USERS}, bp AS (SELECT business_id, word FROM rk WHERE rank <= 200), us AS (SELECT user_id, word FROM up WHERE rank <= 200),
 nu AS (SELECT user_id, count(*) AS nu FROM us GROUP BY 1), nb AS (SELECT business_id, count(*) AS nb FROM bp GROUP BY 1),
 co AS (SELECT user_id, business_id, count(*) AS n FROM vis JOIN bp USING (business_id) JOIN us USING (user_id, word) GROUP BY 1, 2)
 SELECT rv.user_id, rv.business_id, round(n / (sqrt(nu) * sqrt(nb)), 6) AS sim FROM rv JOIN co USING (user_id, business_id) JOIN nu USING (user_id) JOIN nb USING (business_id) WHERE n / (sqrt(nu) * sqrt(nb)) >= 0.01""",
         "item_similarity": f"{ITEMS} SELECT b1, b2, sim FROM mo WHERE top > 1e-9 AND sim > 0",
         "user_similarity": f"{PEOPLE} SELECT u1, u2, sim FROM um",
-        "user_similarity_minhash": f"{_seeded()}, {PEOPLE.partition(RT + ', ')[2]} SELECT u1, u2, sim FROM um WHERE (u1, u2) IN (SELECT x.id, y.id FROM sg x JOIN sg y ON x.band = y.band AND x.hash = y.hash AND x.id < y.id)",
+        "user_lsh_pairs": f"WITH {RT}, {RT3}, {_seeded('rt3')} SELECT DISTINCT x.id AS u1, y.id AS u2 FROM sg x JOIN sg y ON x.band = y.band AND x.hash = y.hash AND x.id < y.id",
+        "user_similarity_minhash": f"{PEOPLE}, {RT3}, {_seeded('rt3')} SELECT DISTINCT u1, u2, sim FROM um JOIN sg x ON x.id = u1 JOIN sg y ON y.id = u2 AND y.band = x.band AND y.hash = x.hash",
         "predict_item_based": BY_ITEM,
         "predict_user_based": BY_USER,
         "graph_edges": f"WITH {GRAPH} SELECT src, dst FROM ed",
