@@ -12,13 +12,23 @@ def spark():
     from oremill.session import local_session
 
     session = local_session(cpus=4, memory="4g", partitions=2, name="tests")
-    # Compiling a plan, and planning anew after each stage, takes longer than running it on tables this small.
-    session.conf.set("spark.sql.adaptive.enabled", "false")
-    session.conf.set("spark.sql.codegen.wholeStage", "false")
-    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    compiled(session, False)
     return session
 
 
+def compiled(session, on):
+    """Code generation: tests of whole queries run the plans that are shipped, others spare the compiling, which takes longer than their few rows."""
+    session.conf.set("spark.sql.codegen.wholeStage", str(on).lower())
+    session.conf.set("spark.sql.codegen.factoryMode", "FALLBACK" if on else "NO_CODEGEN")
+
+
+@pytest.fixture(scope="module")
+def shipped_plans(spark):
+    compiled(spark, True)
+    yield
+    compiled(spark, False)
+
+
 def make_id(name: str) -> str:
     """A valid id that starts with the name."""
     return (name + "_" * 22)[:22]

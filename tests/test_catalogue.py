@@ -8,7 +8,7 @@ import pytest
 from oremill.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+pytestmark = [pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables"), pytest.mark.usefixtures("shipped_plans")]
 
 
 @pytest.fixture(scope="module")
