@@ -30,8 +30,8 @@ def sets(rows, key, value):
     return out
 
 
-@pytest.mark.parametrize("block, flush", [(1024, 2_000_000), (4, 10)])
-def test_item_pairs_match_brute_force(rows, block, flush):
+@pytest.mark.parametrize("block, part", [(1024, 2_000_000), (4, 10), (7, 2_000_000)])
+def test_item_pairs_match_brute_force(rows, block, part):
     by = sets(rows, "business_id", "user_id")
     total = len(set().union(*by.values()))
     want = {}
@@ -39,13 +39,28 @@ def test_item_pairs_match_brute_force(rows, block, flush):
         c = len(by[a] & by[b])
         if c >= 5 and c * total >= 1.2 * len(by[a]) * len(by[b]) - 1e-9:
             want[a, b] = (c, len(by[a]), len(by[b]))
-    got = {(r.b1, r.b2): (r.c, r.n1, r.n2) for r in cooccur.item_pairs(rows, least=5, lift=1.2, block_items=block, flush=flush).collect()}
+    got = {(r.b1, r.b2): (r.c, r.n1, r.n2) for r in cooccur.item_pairs(rows, least=5, lift=1.2, block_items=block, part_rows=part).collect()}
     assert got == want and len(want) > 5
     every = cooccur.item_pairs(rows, least=5, block_items=block).collect()
     assert {(r.b1, r.b2) for r in every} == {(a, b) for a, b in itertools.combinations(sorted(by), 2) if len(by[a] & by[b]) >= 5}
     assert all(abs(r.lift - r.c * total / (r.n1 * r.n2)) < 1e-9 for r in every)
 
 
+def test_tile_products():
+    """Against dense matrices, in chunks of every size, for a block with itself and with another."""
+    draw = np.random.default_rng(4)
+    matrix = draw.random((40, 16)) < 0.3
+    for width, most in itertools.product((8, 16), (1, 30, 10**6)):
+        for lb, rb in ((0, 0), (0, 1), (1, 1))[: 3 if width == 8 else 1]:
+            columns = sorted({*range(lb * width, lb * width + width), *range(rb * width, rb * width + width)})
+            record, at = np.nonzero(matrix[:, columns])
+            code, c = cooccur.tile_product(record, np.array(columns)[at], lb, rb, width, most)
+            product = matrix[:, lb * width : lb * width + width].T.astype(int) @ matrix[:, rb * width : rb * width + width].astype(int)
+            if lb == rb:
+                product = np.triu(product, 1)
+            assert {(int(k) // width, int(k) % width): int(n) for k, n in zip(code, c, strict=True)} == {(i, j): int(product[i, j]) for i, j in zip(*np.nonzero(product), strict=True)}
+
+
 @pytest.mark.parametrize("block_rows", [4096, 3])
 def test_similar_sets_match_brute_force(rows, block_rows):
     by = {b: s for b, s in sets(rows, "business_id", "user_id").items() if len(s) >= 3}
