@@ -53,33 +53,3 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
     for c in columns:
         change |= c[1:] != c[:-1]
     return np.concatenate(([0], np.flatnonzero(change) + 1, [n])) if n else np.zeros(1, np.int64)
-
-
-def index_pairs(starts: np.ndarray, block: np.ndarray, left: np.ndarray, right: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs within groups, in arrays of about `most` pairs. Within a pair of two different blocks only pairs
-    across them; each pair once, either way round. Groups of one size are expanded together."""
-    size = np.diff(starts)
-    first = starts[:-1]
-    whole = left[first] == right[first] if len(first) else np.zeros(0, bool)
-    for d in np.unique(size[whole]):
-        if d < 2:
-            continue
-        at = first[whole & (size == d)]
-        step = max(1, int(most // (d * (d - 1) // 2)))
-        if d <= 2048:
-            i, j = np.triu_indices(int(d), 1)
-            for a in range(0, len(at), step):
-                yield (at[a : a + step, None] + i).ravel(), (at[a : a + step, None] + j).ravel()
-        else:
-            for a in at:
-                for r in range(int(d)):
-                    rest = np.arange(a + r + 1, a + d)
-                    yield np.full(len(rest), a + r), rest
-    for g in np.flatnonzero(~whole):
-        rows = np.arange(first[g], first[g] + size[g])
-        own = block[rows] == left[first[g]]
-        one, two = rows[own], rows[~own]
-        step = max(1, most // max(1, len(two)))
-        for a in range(0, len(one), step):
-            part = one[a : a + step]
-            yield np.repeat(part, len(two)), np.tile(two, len(part))

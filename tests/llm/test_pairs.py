@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from oremill.llm import blocks, cooccur, simjoin
 
@@ -78,7 +79,9 @@ def test_recall_on_pairs_at_the_threshold(spark):
 
 def test_depth_reaches_the_recall():
     assert simjoin.depth_for(40, 0.5, 0.9999) == 2
-    assert simjoin.depth_for(200, 0.5, 0.99) == 5
+    assert simjoin.depth_for(40, 0.5, 0.92) == 4
+    with pytest.raises(ValueError, match="recall"):
+        simjoin.depth_for(4, 0.5, 0.9999)
 
 
 def test_empty_tables(rows):
@@ -100,11 +103,9 @@ def test_runs_cut_only_between_groups():
 
 
 def test_every_pair_meets_once(spark):
-    members = spark.createDataFrame([("g", i) for i in range(50)], "grp string, m long")
-    from pyspark.sql import functions as F
-
-    spread = blocks.block_pairs(members, "m", F.lit(5)).orderBy("left_block", "right_block").collect()
-    left, right, block, m = (np.array([r[c] for r in spread]) for c in ("left_block", "right_block", "block", "m"))
-    starts = blocks.starts_of(left, right)
-    seen = [tuple(sorted((int(m[i]), int(m[j])))) for a, b in blocks.index_pairs(starts, block, left, right, 7) for i, j in zip(a, b, strict=True)]
+    """Members of one prefix, cut into blocks, by the neighbours in the order: each pair once."""
+    members = spark.createDataFrame([(0, 5, 5 << 32 | i % 3, 4, i, bytes(8)) for i in range(50)], "tree int, prefix long, signature long, size int, member long, sketch binary")
+    spread = blocks.block_pairs(members, "member", F.lit(5)).orderBy("left_block", "right_block", "signature")
+    rows = spread.select("tree", "prefix", "left_block", "right_block", "signature", "block", "member", "size", "sketch").toArrow()
+    seen = [p for b in simjoin._neighbours(iter(rows.to_batches(max_chunksize=7)), 0.5, 0) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert sorted(seen) == list(itertools.combinations(range(50), 2))
