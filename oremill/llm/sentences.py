@@ -62,11 +62,10 @@ _CLUSTER = re.compile(rf"[{re.escape(MARKS)};\u037e][{re.escape(MARKS)};\u037e{I
 _EMOJI = re.compile("\\s*(?:[\U0001f000-\U0001faff\u2600-\u27bf\u2b00-\u2bff\u2300-\u23ff\ufe0f\u20e3]|\u200d(?=[\U0001f000-\U0001faff\u2600-\u27bf]))+")
 _DROP = {ord(c): None for c in INVISIBLE}
 
-#: Quotations and brackets in one another that are followed; more open ones are taken for unclosed.
-DEEPEST = 40
-
-#: Costs and gains of the spans. A boundary inside a quotation or bracket is no candidate at all.
-SURE, LIKELY, EMPTY, LONG, LONG_FROM = 4.0, 2.0, -9.0, 0.002, 600
+#: Costs and gains of the spans. SPLIT is what a span pays for a quotation or bracket that it leaves open, or that was opened before it.
+SURE, LIKELY, EMPTY, LONG, LONG_FROM, SPLIT = 4.0, 2.0, -9.0, 0.002, 600, 1000.0
+#: Longer than any word of the lists above. Of a longer run without white space only the ends, and which characters are between, can matter.
+WORD = 64
 
 
 def _plain(word: str) -> str:
@@ -100,25 +99,36 @@ def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 
 
 def _matched(s: str) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Closing place -> opening place of the quotations and brackets of a block that are balanced; and the outermost of them."""
+    """Closing place -> opening place of the quotations and brackets of a block that are balanced; and the outermost of them. They may stand in one
+    another to any depth."""
     stack: list[tuple[int, str]] = []
+    #: For each closing mark, where in the stack those stand that it closes. Places that are gone are dropped when they are met.
+    waiting: dict[str, list[tuple[int, int]]] = {}
     pairs: dict[int, int] = {}
     n = len(s)
-    for i, c in enumerate(s):
-        if c not in _QUOTABLE:
-            continue
+
+    def latest(c: str) -> int:
+        at = waiting.get(c, [])
+        while at and (at[-1][0] >= len(stack) or stack[at[-1][0]][0] != at[-1][1]):
+            at.pop()
+        return at[-1][0] if at else -1
+
+    def push(i: int, closers: str) -> None:
+        for c in closers:
+            waiting.setdefault(c, []).append((len(stack), i))
+        stack.append((i, closers))
+
+    for m in _MARKED.finditer(s):
+        i, c = m.start(), m.group()
         before, after = s[i - 1] if i else " ", s[i + 1] if i + 1 < n else " "
-        closes = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][1]), -1) if c in CLOSERS else -1
-        if len(stack) > DEEPEST:
-            del stack[0]  # so far out, it is no longer waited for
-            closes = max(closes - 1, -1)
+        closes = latest(c)
         if c == '"':
             opening = (before.isspace() or before in BRACKETS or before in MARKS and not closes >= 0) and not after.isspace()
             if closes >= 0 and not (opening and before.isspace()):
                 pairs[i] = stack[closes][0]
                 del stack[closes:]
             elif opening:
-                stack.append((i, '"'))
+                push(i, '"')
             continue
         if c == "’" and closes >= 0 and before.isalpha() and after.isalpha():
             continue
@@ -126,7 +136,7 @@ def _matched(s: str) -> tuple[dict[int, int], list[tuple[int, int]]]:
             pairs[i] = stack[closes][0]
             del stack[closes:]
         elif c in PAIRS:
-            stack.append((i, PAIRS[c]))
+            push(i, PAIRS[c])
     outer: list[tuple[int, int]] = []
     for close, start in sorted(pairs.items(), key=lambda x: (x[1], -x[0])):
         if not outer or start > outer[-1][1]:
@@ -135,6 +145,7 @@ def _matched(s: str) -> tuple[dict[int, int], list[tuple[int, int]]]:
 
 
 _QUOTABLE = frozenset("".join(PAIRS) + "".join(PAIRS.values()))
+_MARKED = re.compile(f"[{re.escape(''.join(sorted(_QUOTABLE)))}]")
 
 
 class _Block:
@@ -152,7 +163,47 @@ class _Block:
         self.ends: list[int] = []
         #: For each end, its score, or where the quotation that it closes opens and its scores at the start of a sentence and inside.
         self.scores: list[float | tuple[int, float, float]] = []
+        #: The run of other than white space around the place looked at, and the one before it; places only grow.
+        self.run, self.before, self.gaps = (0, 0), (0, 0), _SPACES.finditer(s)
+        self.run_end = -1
+        self.between: tuple[int, int, set[str]] = (-1, 0, set())
+        self.last_odd = (-1, -1)
+        self.punctuation = (0, 0)
         self._find()
+        #: For each end, whether it lies in a quotation or bracket.
+        self.split = [bool(outer) and self._inside(e) is not None for e in self.ends]
+
+    def _move(self, i: int) -> None:
+        """Let `run` be the run without white space that place i is in or behind."""
+        while self.run_end < i:
+            if self.run_end >= 0:
+                self.before = self.run
+            gap = next(self.gaps, None)
+            start = self.gap_end if self.run_end >= 0 else 0
+            if gap is None:
+                self.run, self.run_end = (start, len(self.s)), len(self.s)
+                break
+            self.run, self.run_end, self.gap_end = (start, gap.start()), gap.end() - 1, gap.end()
+
+    def _token(self, i: int) -> str:
+        """The run in front of place i, plain. Of one longer than 4 * WORD its ends and, between them, each character once."""
+        self._move(i)
+        start, s = self.run[0], self.s
+        if i - start <= 4 * WORD:
+            return _plain(s[start:i])
+        of, upto, seen = self.between
+        if of != start:
+            upto, seen = start + 2 * WORD, set()
+        seen.update(s[upto : i - 2 * WORD])
+        self.between = (start, max(upto, i - 2 * WORD), seen)
+        return _plain(s[start : start + 2 * WORD] + "".join(sorted(seen)) + s[i - 2 * WORD : i])
+
+    def _odd_behind(self, end: int) -> bool:
+        """Whether the rest of the run behind `end` has a digit or a sign of addresses and files."""
+        self._move(end)
+        if self.last_odd[0] != self.run[0]:
+            self.last_odd = (self.run[0], max((m.start() for m in _ODD.finditer(self.s, *self.run)), default=-1))
+        return self.last_odd[1] >= end
 
     def _inside(self, i: int) -> tuple[int, int] | None:
         a, b = 0, len(self.outer)
@@ -173,7 +224,7 @@ class _Block:
             mark = m.group()
             if mark.isspace():
                 # Thai: a space without a digit next to it.
-                if not s[j].isdigit() and not s[i - 1].isdigit() and s[j] not in CLOSERS and s[j] not in MARKS and not self._inside(i):
+                if not s[j].isdigit() and not s[i - 1].isdigit() and s[j] not in CLOSERS and s[j] not in MARKS:
                     self._put(j, SURE)
                 continue
             bare = mark.translate(_DROP)
@@ -198,8 +249,6 @@ class _Block:
                 else:
                     break
             closed = outside and outside[1] < end
-            if outside and not closed:
-                continue
             at = max(at, end)
             if closed:
                 self._quotation(i, bare, outside, end)
@@ -226,9 +275,10 @@ class _Block:
         s, k = self.s, end
         while k < len(s) and (s[k].isspace() or s[k] in INVISIBLE):
             k += 1
-        word = _WORD.match(s, k)
-        inner = _INNER.match(s, k)
-        self.first = s[inner.end()] if inner and inner.end() < len(s) else ""
+        word = _WORD.match(s, k, k + 2 * WORD)
+        if s[k : k + 1] in PAIRS and not self.punctuation[0] <= k < self.punctuation[1]:
+            self.punctuation = (k, _INNER.match(s, k).end())
+        self.first = s[self.punctuation[1] : self.punctuation[1] + 1]
         return k > end and any(c.isspace() for c in s[end:k]), s[k] if k < len(s) else "", _plain(word.group()) if word else ""
 
     def _new(self, char: str, word: str, usual: bool) -> float:
@@ -263,16 +313,15 @@ class _Block:
             return never if char in ",;:" and not spaced else SURE
         if char in ",;:)/%-–—=&" and not spaced or char in ",;:)":
             return never
-        left = _LEFT.search(s[max(0, i - 40) : i])
-        token = _plain(left.group()) if left else ""
-        before = s[max(0, i - 60) : i - (len(left.group()) if left else 0)].rstrip()
+        token = self._token(i)
+        # Up to the white space in front of the token; the last word of it is self.before.
+        before = s[max(self.before[0], self.before[1] - WORD) : self.before[1]] if self.run[0] else ""
         if not spaced:
             return self._unspaced(i, end, token, char, word)
         if token and token[-1].isdigit():
             digits = token.lstrip("(±$€£#")
             if digits.isdigit() and len(digits) <= 2:
-                previous = _plain(_LEFT.search(before).group()) if _LEFT.search(before) else ""
-                if previous in ORDINAL_BEFORE and char.isalpha():
+                if _plain(before) in ORDINAL_BEFORE and char.isalpha():
                     return -SURE
             if char.isdigit() and not self.cased:
                 return LIKELY
@@ -318,7 +367,7 @@ class _Block:
             return never if self._abbreviation(token, "", char, "") < 0 else SURE
         if not char.isalpha():
             return never
-        raw = _RIGHT.match(self.s, end).group()
+        raw = self.s[end : end + 2]
         if "." in token or "@" in token or "/" in token or "_" in token or ":" in token:
             if not (token in MAYBE and char.isupper()):
                 return never
@@ -334,7 +383,7 @@ class _Block:
             return SURE if len(word) > 1 or raw[:1] in "IAO" or not raw[1:2] == "." else never
         if not char.isupper() and not char.islower():
             return SURE
-        return never if word in FILE_ENDINGS or any(c in raw for c in "@/_") or any(c.isdigit() for c in raw) else SURE
+        return never if word in FILE_ENDINGS or self._odd_behind(end) else SURE
 
     def _quotation(self, i: int, bare: str, span: tuple[int, int], end: int) -> None:
         """A quotation or bracket that closes right behind a mark."""
@@ -350,12 +399,13 @@ class _Block:
         if char in ",;:" or char in MARKS or char in "-–—":
             return
         if bare == ".":
-            left = _LEFT.search(s[max(0, i - 40) : i])
-            token = _plain(left.group()) if left else ""
+            token = self._token(i)
             if token in MAYBE or token in NEVER:
                 return
-        led = s[max(0, start - 40) : start].rstrip()
-        lead = led[-1:] in (",", ":", "：", "，", "、", "﹕")
+        led = start
+        while led and s[led - 1].isspace():
+            led -= 1
+        lead = s[led - 1 : led] in (",", ":", "：", "，", "、", "﹕") if led else False
         if self.cased and (char.isupper() or char.islower()):
             self._put(end, (start, SURE, SURE if lead else LIKELY) if char.isupper() else (start, -SURE * 3, -SURE * 3))
         elif char.isupper() or char.islower():
@@ -370,8 +420,8 @@ class _Block:
 
 _WORD = re.compile(r"[^\W_]+(?:['’.][^\W_]+)*")
 _INNER = re.compile(r"[^\w\s]+\s?")
-_LEFT = re.compile(r"\S+\Z")
-_RIGHT = re.compile(r"\S*")
+_SPACES = re.compile(r"\s+")
+_ODD = re.compile(r"[@/_\d]")
 _STARTS = frozenset("the a an we they it he she i this that these those my our their his her what how why who when where if since for not no".split())
 
 
@@ -383,17 +433,20 @@ def s_opens(s: str, k: int) -> bool:
 def _cut(s: str) -> list[int]:
     """Best segmentation of a block: ends of its sentences, without the last one.
 
-    Semi-Markov: best[i] is the best sum over all ways to cut up to candidate i; a span's score has its closing, its opening (both in the
-    candidate's score), the balance of quotations relative to the span's start, and its length. Spans over LONG_FROM pay by length,
-    so that the best start for them is a running maximum and the search stays exact at any number of candidates.
+    Semi-Markov: best[i] is the best sum over all ways to cut up to candidate i. A span's score is the sum of its closing words and the opening words behind
+    them (the candidate's score, which depends on the span's start where it ends a quotation or bracket), the balance of quotations and brackets
+    at both of its ends, its length, and whether it has any word. Marks in quotations and brackets are candidates like others;
+    the balance is what keeps a sentence from ending at them. Spans over LONG_FROM pay by length, so that the best start for them is a running
+    maximum and the search stays exact at any number of candidates.
     """
     block = _Block(s)
     ends, scores = block.ends, block.scores
     if not ends:
         return []
-    if all(not isinstance(x, tuple) and x >= SURE for x in scores) and all(b - a > 12 for a, b in zip([0, *ends], [*ends, len(s)], strict=True)):
+    if not any(block.split) and all(not isinstance(x, tuple) and x >= SURE for x in scores) and all(b - a > 12 for a, b in zip([0, *ends], [*ends, len(s)], strict=True)):
         # Nothing to weigh: every candidate is a sure end, and no span, the last one included, is empty or pays.
         return ends
+    split = [0.0, *(SPLIT if x else 0.0 for x in block.split), 0.0]
     places = [0, *ends, len(s)]
     first = []
     for p in places:
@@ -408,7 +461,7 @@ def _cut(s: str) -> list[int]:
         p = places[i]
         score = scores[i - 1] if i <= len(ends) else 0.0
         while places[seen] < p - LONG_FROM:
-            value = best[seen] + LONG * places[seen]
+            value = best[seen] + LONG * places[seen] - split[seen]
             if value > far:
                 if far_at >= 0 and first[far_at] != first[seen]:
                     far2, far2_at = far, far_at
@@ -427,16 +480,17 @@ def _cut(s: str) -> list[int]:
                     top, top_at = value - paid + score[2], at
                 # A long span that starts at the opening mark has its own score.
                 for j in range(bisect_left(first, score[0], 0, seen), bisect_right(first, score[0], 0, seen)):
-                    own = best[j] + LONG * places[j] - paid + score[1]
+                    own = best[j] + LONG * places[j] - split[j] - paid + score[1]
                     if own > top:
                         top, top_at = own, j
         for j in range(seen, i):
             own = (score[1] if first[j] == score[0] else score[2]) if isinstance(score, tuple) else score
             if p - places[j] < 13 and not any(c.isalnum() for c in s[places[j] : p]):
                 own += EMPTY
+            own -= split[j]
             if best[j] + own > top:
                 top, top_at = best[j] + own, j
-        best.append(top)
+        best.append(top - split[i])
         back.append(top_at)
     cuts = []
     i = back[-1]

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from oremill.llm.sentences import sentences, sentences_of
+from oremill.llm.sentences import _Block, sentences, sentences_of
 
 #: Texts whose sentences are set apart by " ¦ ".
 CASES = [
@@ -96,3 +96,24 @@ def test_bracket_of_any_length_on_its_own_is_a_sentence(words):
 def test_wordless_rest_stays_with_its_sentence_at_any_length(text):
     assert sentences_of(text)[-1][1] == len(text)
     assert all(any(c.isalnum() for c in text[a:b]) for a, b in sentences_of(text))
+
+
+def test_no_bound_on_nesting_or_on_the_length_of_a_run():
+    deep = "He went " + "(" * 45 + "a. B" + ")" * 45 + " home."
+    assert parts(f"{deep} Next.") == [deep, "Next."]
+    for letters in (10, 60, 1000):
+        address = "See https://example.com/" + "a" * letters + ".Html for it."
+        assert parts(f"{address} Next one.") == [address, "Next one."]
+
+
+@pytest.mark.parametrize("text", ["a." * 20_000, "(" * 20_000 + "]" * 20_000, "(.(. " * 5_000, "x.((((" * 5_000, "“a. ”" * 5_000])
+def test_runs_of_marks_take_linear_time(text):
+    assert sentences_of(text)[-1][1] == len(text.rstrip())
+
+
+def test_the_search_weighs_what_no_candidate_tells():
+    """Marks within a quotation are candidates of positive score; only the balance of the spans keeps them from ending a sentence."""
+    text = "He answered, “We have none. Come again! Please.” and left. Fine."
+    block = _Block(text)
+    assert sum(not isinstance(x, tuple) and x > 0 for x in block.scores) > 2 and any(block.split)
+    assert parts(text) == ["He answered, “We have none. Come again! Please.” and left.", "Fine."]
