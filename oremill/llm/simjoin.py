@@ -90,13 +90,14 @@ def similar_sets(rows: DataFrame, record: str = "business_id", value: str = "use
     rows = written(rows.distinct(), "sets")
     depth = depth_for(trees, threshold, recall)
     hashes = trees * DEPTH
-    low = [F.min(F.xxhash64("value", F.lit(i))).alias(f"h{i}") for i in range(hashes)]
-    sizes = rows.groupBy("record").agg(F.count("*").alias("size"), *low).where(F.col("size") >= least_size)
-    h = lambda t, d: F.col(f"h{t * DEPTH + d}")
-    whole = lambda t: [F.shiftleft(h(t, d).bitwiseAND(F.lit(0xFFFF)), 16 * (DEPTH - 1 - d)) for d in range(DEPTH)]
+    # Values are hashed to 64 bits once, and from there to 32 bits a function, which halves what the minima weigh.
+    low = [F.min(F.hash("hashed", F.lit(i))).alias(f"h{i}") for i in range(hashes)]
+    sizes = rows.select("record", F.xxhash64("value").alias("hashed")).groupBy("record").agg(F.count("*").alias("size"), *low).where(F.col("size") >= least_size)
+    h = lambda i: F.col(f"h{i}").cast("bigint")
+    whole = lambda t: [F.shiftleft(h(t * DEPTH + d).bitwiseAND(F.lit(0xFFFF)), 16 * (DEPTH - 1 - d)) for d in range(DEPTH)]
     signatures = F.array(*(_joined(whole(t)) for t in range(trees)))
     # Bits 16 and 17 of each value, 32 values a number; the signature has the bits below.
-    fields = [F.shiftleft(F.shiftright(F.col(f"h{i}"), 16).bitwiseAND(F.lit(3)), 2 * (i % 32)) for i in range(hashes)]
+    fields = [F.shiftleft(F.shiftright(h(i), 16).bitwiseAND(F.lit(3)), 2 * (i % 32)) for i in range(hashes)]
     sketch = F.unhex(F.concat(*(F.lpad(F.hex(_joined(fields[i : i + 32])), 16, "0") for i in range(0, hashes, 32))))
     forest = sizes.select("record", F.col("size").cast("int").alias("size"), sketch.alias("sketch"), signatures.alias("signatures"))
     # Members are numbered in any order; written, so that a rerun task can't change the numbers.
