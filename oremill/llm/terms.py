@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -236,45 +237,85 @@ def distinctive_terms(records: DataFrame, stopwords: DataFrame, group: str = "bu
 
 # Hypergeometric enrichment --------------------------------------------------------------------------------------------
 
-#: Coefficients of Lanczos' approximation of the gamma function, g = 7 (fixed values).
-LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """log(gamma(x)) for x >= 1: Lanczos' sum below 1e6, Stirling's series above."""
-    x = np.asarray(x, np.float64)
-    z = x - 1
-    total = np.full_like(z, LANCZOS[0])
-    for i, c in enumerate(LANCZOS[1:], 1):
-        total += c / (z + i)
-    t = z + 7.5
-    lanczos = 0.5 * np.log(2 * np.pi) + (z + 0.5) * np.log(t) - t + np.log(total)
-    stirling = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x)
-    return np.where(x < 1e6, lanczos, stirling)
+#: Errors of Stirling's formula for log(n!), n = 0 to 15.
+_STIRLING = np.array([0.0, *(math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16))])
+
+
+def stirling_error(n: np.ndarray) -> np.ndarray:
+    """log(gamma(n + 1)) less Stirling's (n + 1/2) log n - n + log(2 pi) / 2, for whole n; 0 for n = 0."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = 1 / n
+        q = r * r
+        series = r * (1 / 12 - q * (1 / 360 - q * (1 / 1260 - q * (1 / 1680 - q / 1188))))
+    return np.where(n < 16, _STIRLING[np.minimum(n, 15).astype(np.int64)], series)
+
+
+def deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """x log(x / mean) + mean - x, without cancellation where x is near the mean."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v = (x - mean) / (x + mean)
+        near = (x - mean) * v
+        term = 2 * x * v
+        for j in range(1, 13):
+            term = term * v * v
+            near = near + term / (2 * j + 1)
+        far = np.where(x > 0, x * np.log(x / mean), 0.0) + mean - x
+    return np.where((np.abs(v) < 0.1) & (x > 0), near, far)
+
+
+def _log_binomial(x: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Log of the probability of x out of n, p + q = 1, by the errors of the log gammas and the deviances: what is large has no part in it."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        middle = stirling_error(n) - stirling_error(x) - stirling_error(n - x) - deviance(x, n * p) - deviance(n - x, n * q)
+        middle = middle - 0.5 * (np.log(2 * np.pi) + np.log(x) + np.log1p(-x / n))
+        none = np.where(p < 0.1, n * np.log1p(-p), n * np.log(q))
+        every = np.where(q < 0.1, n * np.log1p(-q), n * np.log(p))
+    return np.where(n == 0, 0.0, np.where(x == 0, none, np.where(x == n, every, middle)))
+
+
+def log_hypergeometric(x: np.ndarray, draws: np.ndarray, marked: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log of P(X = x), x within the support: three binomials with p = draws / size, in place of differences of log gammas of the size, which lose all
+    digits behind the point when the size is large."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = draws / size, (size - draws) / size
+        sure = _log_binomial(x, marked, p, q) + _log_binomial(draws - x, size - marked, p, q) - _log_binomial(draws, size, p, q)
+    return np.where((draws == 0) | (draws == size) | (marked == 0) | (marked == size), 0.0, sure)
+
+
+def _sum_from(x: np.ndarray, step: int, draws: np.ndarray, marked: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sum of P(X = x + i * step) / P(X = x) over i = 0, 1, .. until the terms are negligible or the support ends. One vector step each."""
+    total, term, at = np.ones(len(x)), np.ones(len(x)), x.copy()
+    least, most = np.maximum(0, draws + marked - size), np.minimum(marked, draws)
+    live = np.flatnonzero(at < most if step > 0 else at > least)
+    while len(live):
+        k, m, d, s = at[live], marked[live], draws[live], size[live]
+        ratio = (m - k) * (d - k) / ((k + 1) * (s - m - d + k + 1)) if step > 0 else k * (s - m - d + k) / ((m - k + 1) * (d - k + 1))
+        term[live] *= ratio
+        total[live] += term[live]
+        at[live] += step
+        going = (term[live] > total[live] * 1e-17) & ((at[live] < most[live]) if step > 0 else (at[live] > least[live]))
+        live = live[going]
+    return total
 
 
 def log_upper_tail(k: np.ndarray, draws: np.ndarray, marked: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Natural log of P(X >= k) for X hypergeometric: `draws` out of `size`, of which `marked` are marked. All vectors.
+    """Natural log of P(X >= k) for X hypergeometric: `draws` out of `size`, of which `marked` are marked. All vectors of whole numbers.
 
-    The terms are added from k upward, in one vector step each, until all are negligible or the support ends.
+    Above the mean the terms are added from k upward, else from k - 1 downward and taken from 1; so a sum has no more than some standard deviations
+    of terms.
     """
     k, draws, marked, size = (np.asarray(a, np.float64) for a in (k, draws, marked, size))
-
-    def choose(n: np.ndarray, r: np.ndarray) -> np.ndarray:
-        return log_gamma(n + 1) - log_gamma(r + 1) - log_gamma(n - r + 1)
-
-    low = np.maximum(k, np.maximum(0, draws + marked - size))
-    first = choose(marked, low) + choose(size - marked, draws - low) - choose(size, draws)
-    total, term, x = np.ones_like(first), np.ones_like(first), low.copy()
-    live = np.arange(len(total))
-    while len(live):
-        at = x[live]
-        ratio = (marked[live] - at) * (draws[live] - at) / ((at + 1) * (size[live] - marked[live] - draws[live] + at + 1))
-        term[live] *= np.maximum(ratio, 0)
-        total[live] += term[live]
-        x[live] += 1
-        live = live[(term[live] > total[live] * 1e-16) & (x[live] < np.minimum(marked, draws)[live])]
-    return np.minimum(first + np.log(total), 0.0)
+    least, most = np.maximum(0, draws + marked - size), np.minimum(marked, draws)
+    out = np.zeros(len(k))
+    upper = np.flatnonzero((k > least) & (k <= most) & (k * size > draws * marked))
+    x, d, m, s = k[upper], draws[upper], marked[upper], size[upper]
+    out[upper] = np.minimum(log_hypergeometric(x, d, m, s) + np.log(_sum_from(x, 1, d, m, s)), 0.0)
+    lower = np.flatnonzero((k > least) & (k <= most) & (k * size <= draws * marked))
+    x, d, m, s = k[lower] - 1, draws[lower], marked[lower], size[lower]
+    below = np.exp(log_hypergeometric(x, d, m, s)) * _sum_from(x, -1, d, m, s)
+    out[lower] = np.log1p(-np.minimum(below, 1 - 1e-16))
+    out[k > most] = -np.inf
+    return out
 
 
 def enriched_terms(records: DataFrame, stopwords: DataFrame, group: str = "business_id", k: int = 3, least_texts: int = 5) -> DataFrame:
@@ -283,6 +324,9 @@ def enriched_terms(records: DataFrame, stopwords: DataFrame, group: str = "busin
     (Benjamini and Hochberg). Columns grp, term, n, score (negative log10 of the adjusted probability, 6 places), place.
 
     Groups and terms as in group_terms; ties go to the larger count and then to the smaller term.
+
+    A term's probability depends on its two counts only, so that a group's many rare terms have few different ones: the adjustment runs over these
+    with their numbers of terms, and the places are cut at k before terms are shuffled.
     """
     counts, frequencies, _ = group_terms(records, valid_id(group), stopwords, least_texts=least_texts)
     size = frequencies.agg(F.sum("n")).first()[0] or 0
@@ -291,16 +335,19 @@ def enriched_terms(records: DataFrame, stopwords: DataFrame, group: str = "busin
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, total, overall = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
-            logs = log_upper_tail(n, total, overall, np.full(len(n), size))
+            # Rare terms of a group have the same counts: each combination is worked out once.
+            combos, at = np.unique(np.stack([n, total, overall]), axis=1, return_inverse=True)
+            logs = log_upper_tail(*combos, np.full(combos.shape[1], size))[at.ravel()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(logs)], schema=schema)
 
     logs = with_frequency(counts, frequencies).select("grp", "term", "n", "total", "overall").mapInArrow(tail, "grp string, term string, n bigint, log_p double")
-    ranked = Window.partitionBy("grp").orderBy("log_p", F.desc("n"), "term")
+    logs = written(logs, "tails")
+    values = logs.groupBy("grp", "log_p").agg(F.count("*").alias("ties"))
     whole = Window.partitionBy("grp")
-    adjusted = logs.withColumn("place", F.row_number().over(ranked)).withColumn("m", F.count("*").over(whole))
-    adjusted = adjusted.withColumn("log_q", F.col("log_p") + F.log(F.col("m") / F.col("place")))
-    # The adjusted value is the least of this and all later places.
-    rest = ranked.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    adjusted = adjusted.withColumn("log_q", F.least(F.lit(0.0), F.min("log_q").over(rest)))
-    score = F.round(-F.col("log_q") / F.lit(float(np.log(10))), 6) + F.lit(0.0)
-    return adjusted.where(F.col("place") <= k).select("grp", "term", "n", score.alias("score"), "place")
+    up_to = values.withColumn("upto", F.sum("ties").over(whole.orderBy("log_p"))).withColumn("m", F.sum("ties").over(whole))
+    # The adjusted value is the least of this and all later ones; of equal ones the last place has the least.
+    log_q = F.min(F.col("log_p") + F.log(F.col("m") / F.col("upto"))).over(whole.orderBy("log_p").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    adjusted = up_to.withColumn("log_q", F.least(F.lit(0.0), log_q)).select("grp", "log_p", "log_q")
+    best = logs.withColumn("place", F.row_number().over(whole.orderBy("log_p", F.desc("n"), "term"))).where(F.col("place") <= k)
+    score = F.round(-F.col("log_q") / F.lit(math.log(10)), 6) + F.lit(0.0)
+    return best.join(adjusted, ["grp", "log_p"]).select("grp", "term", "n", score.alias("score"), "place")

@@ -1,6 +1,7 @@
 import math
 import unicodedata
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -100,8 +101,44 @@ def test_upper_tail_is_exact():
     for x, (k, n, m, s) in zip(got, cases, strict=True):
         p = sum(math.comb(m, i) * math.comb(s - m, n - i) for i in range(k, min(n, m) + 1)) / math.comb(s, n)
         assert math.isclose(math.exp(x), p, rel_tol=1e-9), (k, n, m, s)
-    big = terms.log_gamma(np.array([1.0, 2.0, 10.5, 1e5, 1e9]))
-    assert np.allclose(big, [math.lgamma(v) for v in (1, 2, 10.5, 1e5, 1e9)], rtol=1e-12)
+
+
+def test_upper_tail_loses_nothing_at_any_size():
+    """Where the tail is known in closed form, and where it can be worked out in whole numbers, up to sizes of 1e13."""
+    for size in (10**6, 10**9, 10**11, 10**13):
+        for draws in (1, 17, size // 1000, size // 3):
+            one, two, none = terms.log_upper_tail(*np.array([(1, draws, 1, size), (2, draws, 2, size), (1, draws, 2, size)]).T)
+            assert math.isclose(one, math.log(draws / size), rel_tol=1e-12)
+            if draws > 1:
+                assert math.isclose(two, math.log(draws * (draws - 1)) - math.log(size * (size - 1)), rel_tol=1e-12)
+            exact = 1 - Fraction((size - draws) * (size - draws - 1), size * (size - 1))
+            assert math.isclose(none, math.log(exact.numerator) - math.log(exact.denominator), rel_tol=1e-12)
+    for k, draws, marked, size in [(30, 2000, 500, 10**6), (5, 300, 40, 10**9), (12, 100, 1000, 10**13), (3, 5000, 2000, 10**6), (9, 5000, 2000, 10**6)]:
+        ways = sum(math.comb(marked, i) * math.comb(size - marked, draws - i) for i in range(k, min(marked, draws) + 1))
+        exact = Fraction(ways, math.comb(size, draws))
+        want = math.log(exact.numerator) - math.log(exact.denominator) if exact < Fraction(1, 2) else math.log1p(-float(1 - exact))
+        assert math.isclose(terms.log_upper_tail(*np.array([[k], [draws], [marked], [size]]))[0], want, rel_tol=1e-10, abs_tol=1e-9), (k, draws, marked, size)
+
+
+def test_adjustment_is_that_of_benjamini_and_hochberg(spark):
+    """With ties, against the plain procedure over one place after the other."""
+    rows = [(i, make_id("abc"[i % 3]), " ".join(f"w{(i * j) % 23}" for j in range(1, 10)) + f" own{i % 3}" * (i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "review_id long, business_id string, text string")
+    stop = spark.createDataFrame([("x",)], "value string")
+    by = defaultdict(Counter)
+    for _, b, t in rows:
+        by[b].update(brute_terms(t))
+    overall = sum(by.values(), Counter())
+    size = sum(overall.values())
+    want = {}
+    for b, held in by.items():
+        draws = sum(held.values())
+        p = {t: terms.log_upper_tail(*np.array([[n], [draws], [overall[t]], [size]]))[0] for t, n in held.items()}
+        order = sorted(p, key=lambda t: (p[t], -held[t], t))
+        q = [p[t] + math.log(len(order) / j) for j, t in enumerate(order, 1)]
+        want |= {(b, t): (place + 1, round(-min(0.0, *q[place:]) / math.log(10), 6) + 0.0) for place, t in enumerate(order[:4])}
+    got = {(r.grp, r.term): (r.place, r.score) for r in terms.enriched_terms(df, stop, k=4).collect()}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
 
 
 def test_enriched_terms_prefer_what_is_concentrated(spark):
