@@ -90,7 +90,7 @@ def _exact(x: str | Column) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("decimal(18,0)")
 
 
-def item_pairs(baskets: DataFrame, basket: str = "user_id", item: str = "business_id", least: int = 5, lift: float | None = None, block_items: int = 1024, part_rows: int = 2_000_000) -> DataFrame:
+def item_pairs(baskets: DataFrame, basket: str = "user_id", item: str = "business_id", least: int = 5, lift: float | None = None, block_items: int = 2048, part_rows: int = 2_000_000) -> DataFrame:
     """Pairs of items that at least `least` baskets hold: (b1, b2, c, n1, n2, lift), b1 < b2, c * N / (n1 * n2) being the lift.
 
     Repeated rows count once, rows with a null are left out; N counts all baskets. With `lift`, only pairs with c * N >= lift * n1 * n2, compared exactly.
