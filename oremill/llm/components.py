@@ -22,8 +22,9 @@ def linked_groups(pairs: DataFrame, left: str, right: str, most_rounds: int = 10
 
     Minimum labels with pointer jumping: in each round every vertex takes the least label among its neighbours, pointers are doubled
     until all reach the end of their chain, and the edges are redrawn between the labels reached. A vertex that is not the least
-    around it is gone after that, so vertices at least halve with each round; it ends when no edge joins two labels, that is when no
-    label changes any more. Each round's tables are written to the shared folder. A vertex with very many links is no hot
+    around it is gone after that. A round may only take the ends of a star one by one (a centre with the largest id loses itself first), but of the
+    vertices that are left after it every second one is gone after the next, so they at least halve with every two rounds; it ends when no
+    edge joins two labels, that is when no label changes any more. Each round's tables are written to the shared folder. A vertex with very many links is no hot
     spot: minima are combined before the shuffle, and the joins have one row a vertex on the side of the pointers.
     """
     links = pairs.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l is not null and r is not null").distinct()

@@ -2,6 +2,7 @@ import math
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from oremill.llm import components, topn
@@ -32,6 +33,21 @@ def test_top_items(spark, fan_in):
     assert topn.top_items(df.limit(0), "a", "b", "s").collect() == []
 
 
+def test_cut_seeks_over_batches_of_any_size():
+    """Sorted rows with repeated items, cut into batches, against the plain rule."""
+    draw = random.Random(8)
+    rows = sorted(((g, -draw.randint(0, 4), f"x{draw.randint(0, 6)}") for g in "aabccccd" for _ in range(draw.randint(1, 30))), key=lambda r: r)
+    want, seen = [], defaultdict(list)
+    for g, s, i in rows:
+        if len(seen[g]) < 4 and i not in seen[g]:
+            seen[g].append(i)
+            want.append((g, i))
+    table = pa.table([[g for g, _, _ in rows], [0] * len(rows), [1] * len(rows), [float(-s) for _, s, _ in rows], [i for _, _, i in rows]], schema=topn._SCHEMA)
+    for size in (1, 2, 5, 17, 1000):
+        got = [p for b in topn._cut(iter(table.to_batches(max_chunksize=size)), 4) for p in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)]
+        assert got == want, size
+
+
 def brute_groups(pairs):
     group = {}
 
