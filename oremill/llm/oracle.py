@@ -47,16 +47,16 @@ SELECT b AS business_id, term FROM (SELECT b, term, row_number() OVER (PARTITION
 P5_ENRICHED = f"""WITH {TERMS}, s AS (SELECT DISTINCT lower(trim(value)) AS term FROM stopwords),
 big AS (SELECT b FROM w WHERE b IS NOT NULL GROUP BY 1 HAVING count(DISTINCT review_id) >= 5),
 c AS (SELECT b, term, count(*) AS n FROM w WHERE b IS NOT NULL AND term NOT IN (SELECT term FROM s WHERE term IS NOT NULL) GROUP BY 1, 2),
-t AS (SELECT b, sum(n)::BIGINT AS draws FROM c GROUP BY 1), o AS (SELECT term, sum(n)::BIGINT AS marked FROM c GROUP BY 1), z AS (SELECT sum(n)::BIGINT AS size FROM c),
-u AS (SELECT b, term, n, draws, marked, size FROM c JOIN t USING (b) JOIN o USING (term) JOIN big USING (b), z),
+dr AS (SELECT b, sum(n)::BIGINT AS draws FROM c GROUP BY 1), o AS (SELECT term, sum(n)::BIGINT AS marked FROM c GROUP BY 1), z AS (SELECT sum(n)::BIGINT AS size FROM c),
+u AS (SELECT b, term, n, draws, marked, size FROM c JOIN dr USING (b) JOIN o USING (term) JOIN big USING (b), z),
 combo AS (SELECT DISTINCT n, draws, marked, size FROM u),
 x AS (SELECT n, draws, marked, size, unnest(range(n, least(draws, marked) + 1)) AS i FROM combo),
 l AS (SELECT n, draws, marked, size, lgamma(marked + 1) - lgamma(i + 1) - lgamma(marked - i + 1) + lgamma(size - marked + 1) - lgamma(draws - i + 1) - lgamma(size - marked - draws + i + 1)
  - lgamma(size + 1) + lgamma(draws + 1) + lgamma(size - draws + 1) AS lp FROM x WHERE draws - i <= size - marked),
 y AS (SELECT n, draws, marked, size, max(lp) AS top FROM l GROUP BY ALL),
 p AS (SELECT n, draws, marked, size, round(least(0, any_value(top) + ln(sum(exp(lp - top)))), 9) AS log_p FROM l JOIN y USING (n, draws, marked, size) GROUP BY ALL),
-r AS (SELECT b, term, n, log_p, row_number() OVER (PARTITION BY b ORDER BY log_p, n DESC, term) AS place, count(*) OVER (PARTITION BY b) AS m FROM u JOIN p USING (n, draws, marked, size)),
-q AS (SELECT b, term, n, place, least(0, min(log_p + ln(m / place)) OVER (PARTITION BY b ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS log_q FROM r)
+pl AS (SELECT b, term, n, log_p, row_number() OVER (PARTITION BY b ORDER BY log_p, n DESC, term) AS place, count(*) OVER (PARTITION BY b) AS m FROM u JOIN p USING (n, draws, marked, size)),
+q AS (SELECT b, term, n, place, least(0, min(log_p + ln(m / place)) OVER (PARTITION BY b ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS log_q FROM pl)
 SELECT b AS business_id, term, n, round(-log_q / ln(10), 6) + 0.0 AS score, CAST(place AS INTEGER) AS place FROM q WHERE place <= 3"""
 
 P6 = f"""WITH m AS (SELECT {_id('b1')} AS b1, {_id('b2')} AS b2, sim FROM item_model WHERE sim IS NOT NULL AND NOT isnan(sim)),
