@@ -56,19 +56,19 @@ def fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
 
     def signs(h: np.ndarray) -> np.ndarray:
-        return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16) * 2 - 1
+        return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8) * 2 - 1
 
     with np.errstate(over="ignore"):
         pairs = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] + (hashes[1:] >> np.uint64(29)))
         pairs ^= pairs >> np.uint64(31)
         pairs *= np.uint64(0xBF58476D1CE4E5B9)
         pairs ^= pairs >> np.uint64(27)
-    words, two = signs(hashes), signs(pairs)
-    total = np.zeros((n, 64), np.int16)
+    words, two = signs(hashes), signs(pairs) * 2
+    total = np.zeros((n, 64), np.int8 if 3 * size < 128 else np.int16)
     for i in range(size):
         total += words[i : i + n]
         if i < size - 1:
-            total += 2 * two[i : i + n]
+            total += two[i : i + n]
     return np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -140,6 +140,7 @@ class Passages:
         self.texts = [words_of(t) for _, t in items]
         alone = [2 * sum(map(_alone, t)) > len(t) for t in self.texts]
         self.need = [singles if a else words for a in alone]
+        self.shingles = [(frozenset(t), frozenset(zip(t, t[1:], strict=False))) for t in self.texts]
         self.indexes = []
         for size, of_singles in ((window, False), (single_window, True)):
             prints, item, place = [], [], []
@@ -172,11 +173,29 @@ class Passages:
                     found[int(t), int(k)].add((int(d - start[t]), int(at)))
         return found
 
-    def longest(self, text: list[str], k: int, seeds: set[tuple[int, int]], enough: int | None = None) -> int:
-        """Most successive words of item k that the text carries around the seeds, with at most one edit in `one_in` of them. Stops at
-        `enough`."""
-        item = self.texts[k]
-        most, best, done = len(item) // self.one_in, 0, set()
+    def similar(self, text: list[str], k: int, d: int) -> bool:
+        """Whether the words around place d have the weight that a case has in common with the item: words count 1, neighbouring pairs 2. A case's
+        `need` words with e = need // one_in edits keep need - e words and need - 1 - 2 e pairs; longer ones keep more."""
+        need = self.need[k]
+        edits = need // self.one_in
+        wanted = need - edits + 2 * (need - 1 - 2 * edits)
+        words, pairs = self.shingles[k]
+        part = text[max(0, d - 2 * need) : d + 2 * need + 2 * need // self.one_in]
+        weight = sum(w in words for w in part)
+        if weight * 3 < wanted:
+            return False
+        return weight + 2 * sum(x in pairs for x in zip(part, part[1:], strict=False)) >= wanted
+
+    def carried(self, text: list[str], k: int, seeds: set[tuple[int, int]]) -> bool:
+        """Whether the text carries at least `need` successive words of item k, with at most one edit in `one_in` of them, around one of the seeds.
+
+        A longer run can be cut into pieces of need to 2 need - 1 words, and one of them has no more than its share of the edits: so it is enough
+        to look for such a piece, that is less than 2 need words to either side of a seed, with less than 2 need / one_in edits.
+        """
+        item, need, one_in = self.texts[k], self.need[k], self.one_in
+        far = 2 * need - 1
+        most = far // one_in
+        done: set[tuple[int, int]] = set()
         for d, p in sorted(seeds):
             if (d - p, p) in done or item[p] != text[d]:
                 continue
@@ -186,21 +205,23 @@ class Passages:
             while b < len(item) and d + b - p < len(text) and item[b] == text[d + b - p]:
                 b += 1
             done.update((d - p, x) for x in range(a, b))
-            at = d - (p - a)
-            ahead = _reach(item[b:], text[d + b - p : d + b - p + len(item) + most], most)
-            back = _reach(item[:a][::-1], text[max(0, at - len(item) - most) : at][::-1], most)
+            if b - a >= need:
+                return True
+            if not self.similar(text, k, d):
+                continue
+            at, to = d - (p - a), d + b - p
+            ahead = _reach(item[b : b + far], text[to : to + far + most], most)
+            back = _reach(item[max(0, a - far) : a][::-1], text[max(0, at - far - most) : at][::-1], most)
             for i, x in enumerate(back):
                 for j, y in enumerate(ahead):
                     n = x + b - a + y
-                    if n > best and (i + j) * self.one_in <= n:
-                        best = n
-            if enough is not None and best >= enough:
-                break
-        return best
+                    if n >= need and (i + j) * one_in <= n:
+                        return True
+        return False
 
     def found(self, texts: list[list[str]]) -> list[tuple[int, int]]:
         """(text, item) of all texts that carry enough of an item."""
-        return [(t, k) for (t, k), seeds in self.seeds(texts).items() if self.longest(texts[t], k, seeds, self.need[k]) >= self.need[k]]
+        return [(t, k) for (t, k), seeds in self.seeds(texts).items() if self.carried(texts[t], k, seeds)]
 
 
 _known: dict[str, int] = {}
@@ -222,8 +243,9 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     broadcast. Documents are spread evenly and checked where they are, whole texts, so that no text or candidate is shuffled after.
 
     Windows of the texts get SimHash fingerprints; an index over blocks of their bits finds all item windows within the
-    radius; the texts around these are then compared word by word. The window is as long as the stretch that must remain
-    unchanged between edits, since one changed word in a window of all 12 moves a fingerprint by about 10 bits.
+    radius; candidates are verified by the weight of the shingles that they share with the item, and those that have it by the rule, word by word.
+    The window is as long as the stretch that must remain unchanged between edits and not as long as the item's passage: one changed word in a window
+    of 12 moves a fingerprint by about 10 of 64 bits, and a radius that guarantees it leaves blocks of 3 bits, which select nothing.
     """
     spark = documents.sparkSession
     rows = items.select(F.col(item).cast("bigint"), F.col(passage).cast("string")).where(F.col(item).isNotNull() & F.col(passage).isNotNull()).distinct().orderBy(item, passage).limit(most_items + 1).collect()

@@ -94,3 +94,69 @@ def test_dense_edits_in_single_characters():
             at += size + 1
             part[at] = "龘"
         assert carries(f"{NOISE} {''.join(part)} {NOISE}", CHINESE), sizes
+
+
+def edited(part, edit, every, start):
+    """One in `every` words or characters replaced, added or missing, evenly spread; edits outside the run's ends only."""
+    out = []
+    for i, w in enumerate(part):
+        if i % every == start and 0 < i < len(part) - 1:
+            if edit == "add":
+                out += [w, "龘" if len(w) == 1 else "quite"]
+            elif edit == "replace":
+                out.append("龘" if len(w) == 1 else "quite")
+        else:
+            out.append(w)
+    return out
+
+
+def test_runs_of_every_length_with_one_edit_in_eight():
+    for n in range(12, 61):
+        for edit in ("replace", "add", "drop"):
+            for start in (3, 4, 5):
+                part = edited(WORDS[:n], edit, 8, start)
+                if 8 * sum(i % 8 == start and 0 < i < n - 1 for i in range(n)) <= n:
+                    assert carries(f"{NOISE} {' '.join(part)} {NOISE}", " ".join(WORDS[:90])), (n, edit, start)
+    for n in range(30, 65):
+        for edit in ("replace", "add", "drop"):
+            for start in (2, 4, 6):
+                part = edited(CHINESE[5 : 5 + n], edit, 8, start)
+                if 8 * sum(i % 8 == start and 0 < i < n - 1 for i in range(n)) <= n:
+                    assert carries(f"{NOISE} {''.join(part)} {NOISE}", CHINESE), (n, edit, start)
+
+
+def test_pieces_decide_as_the_longest_run_does():
+    """Random edits of any density, against the plain rule over all runs of the item and all parts of the text."""
+    draw = random.Random(12)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row
+
+    item = WORDS[:34]
+    passages = leaks.Passages([(1, " ".join(item))])
+    cases = found = 0
+    for _ in range(120):
+        start, n = draw.randint(0, 10), draw.randint(10, 24)
+        text = [w for w in item[start : start + n]]
+        for _ in range(draw.randint(0, 4)):
+            at = draw.randrange(len(text))
+            text[at : at + 1] = draw.choice([["quite"], [text[at], "rather"], []])
+        want = False
+        for a in range(len(text)):
+            for p in range(len(item)):
+                for q in range(p + 12, len(item) + 1):
+                    if text[a : a + 1] == item[p : p + 1]:
+                        want = want or any(8 * x <= q - p and text[a + j - 1 : a + j] == item[q - 1 : q] for j, x in enumerate(distance(item[p:q], text[a : a + q - p + 4])) if j)
+                if want:
+                    break
+            if want:
+                break
+        got = bool(passages.found([text]))
+        assert got == want, text
+        cases, found = cases + 1, found + got
+    assert 10 < found < cases - 10
