@@ -23,23 +23,41 @@ def _java(text: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in text)
 
 
+def _part(c: str) -> str:
+    """Java pattern of one character of a known name; separators and quotes may be escaped."""
+    if c == '"':
+        return r'(?:\\"|""|")'
+    if c in SPECIAL:
+        return r"\\?" + _java(c)
+    return r"\s+" if c.isspace() else _java(c)
+
+
+def _any_of(names: list[list[str]]) -> str:
+    """Java pattern of any of the names, each a list of parts, the longest that fits first. Names with a common beginning share it, so that a place of the
+    text is compared with the different first parts only, and not with every name."""
+    tree: dict = {}
+    for parts in names:
+        at = tree
+        for part in parts:
+            at = at.setdefault(part, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        alone = ""
+        while len(at) == 1 and "" not in at:
+            (part, at) = next(iter(at.items()))
+            alone += part
+        ways = [part + pattern(then) for part, then in sorted(at.items()) if part]
+        return alone + (f"(?:{'|'.join(ways)})" + ("?" if "" in at else "") if ways else "")
+
+    return pattern(tree)
+
+
 def _token_pattern(names: list[str]) -> str:
-    """Java pattern of one token: a known name as a whole (its separators and quotes may be escaped), a run of ordinary words, a run of
+    """Java pattern of one token: a known name as a whole, in any letter case (its separators and quotes may be escaped), a run of ordinary words, a run of
     blanks, or a single special character."""
-    known = []
-    for name in sorted({n.strip() for n in names if n and any(c in SPECIAL for c in n)}, key=lambda n: (-len(n), n)):
-        parts = []
-        for c in name:
-            if c == '"':
-                parts.append(r'(?:\\"|""|")')
-            elif c in SPECIAL:
-                parts.append(r"\\?" + _java(c))
-            elif c.isspace():
-                parts.append(r"\s+")
-            else:
-                parts.append(_java(c))
-        known.append("".join(parts))
-    name = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(known)})(?![\p{{L}}\p{{N}}])" if known else r"(?!)"
+    known = {n.strip().lower() for n in names if n and any(c in SPECIAL for c in n)}
+    name = rf"(?<![\p{{L}}\p{{N}}]){_any_of([[_part(c) for c in n] for n in sorted(known) if n])}(?![\p{{L}}\p{{N}}])" if known else r"(?!)"
     word = rf"[^\s{_java(SPECIAL)}]"
     return rf"(?iu){name}|(?:(?!{name}){word})+(?:[ ]+(?!{name}){word}+)*|[ \x{{a0}}]+|[\s\S]"
 
@@ -149,7 +167,8 @@ def split_values(rows: DataFrame, field: str, names: list[str], value: str = "va
     tokens = F.regexp_extract_all(text, F.lit(_token_pattern(names)), F.lit(0))
     # Columns of the rows travel in one struct, so that their names can't clash with those used here.
     cut = rows.where(text.isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), tokens.alias("_tokens"))
-    cut = cut.withColumn("skeleton", skeleton_of(F.col("_tokens")))
+    # Read for the skeletons and to put the values together: cutting the fields is most of the work, so it is done once.
+    cut = written(cut.withColumn("skeleton", skeleton_of(F.col("_tokens"))), "tokens")
     counts = cut.groupBy("skeleton").agg(F.count("*").alias("n"))
     rules = written(_rules(counts), "rules")
     total = rules.agg(F.sum("n")).first()[0] or 0

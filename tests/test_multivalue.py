@@ -64,3 +64,12 @@ def test_quoting_round_trip(values, sep):
         want.append([at + (2 if i else 1)])
         at += 4 if i else 3
     assert splitting_rule(skeleton) == want
+
+
+def test_names_of_any_length_and_common_beginnings(spark):
+    """The longest name that fits wins, also behind a shorter one that begins like it; a name may be very long."""
+    names = ["Ham, Egg", "Ham, Egg & Tea", "Ham, Eggs", "Ham / Rye", "x" * 3000 + ", y", "Plain"]
+    field = "ham, egg & tea, Ham, Eggs; HAM / RYE / ham, egg, " + "X" * 3000 + ", Y, Ham, Eggcup"
+    rows = spark.createDataFrame([(1, field)], "id int, f string")
+    got = [r.value for r in split_values(rows, "f", names).orderBy("pos").collect()]
+    assert got == ["ham, egg & tea", "Ham, Eggs", "HAM / RYE", "ham, egg", "X" * 3000 + ", Y", "Ham", "Eggcup"]
