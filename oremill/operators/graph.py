@@ -311,6 +311,24 @@ def gn_dendrogram(edges: DataFrame, **options: float) -> DataFrame:
     return total.select("iteration", "communities", F.round("value", 6).alias("value"))
 
 
+def dendrogram_members(edges: DataFrame, **options: float) -> DataFrame:
+    """(iteration, id, community): the communities of every vertex at each of the iterations of Girvan-Newman that were scored (see gn_dendrogram).
+
+    A component's parts stay as they are until it splits again: each of its states is repeated for the scored iterations up to the next.
+    """
+    steps = split_steps(edges, **options)
+    scored = steps.where("score is not null").select("iteration").distinct()
+    # One row per scored iteration, fewer than vertices: numbered in one sequence.
+    scored = written(scored.withColumn("s", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("iteration"))), "scored")
+    most = scored.agg(F.max("s")).first()[0]
+    # Components that split have labels at iterations that were scored, at 0, or at the last, at which all vertices are alone.
+    states = steps.where("labels is not null").join(scored, "iteration", "left").withColumn("s", F.when(F.col("iteration") == 0, 0).otherwise(F.coalesce("s", F.lit((most or 0) + 1))))
+    until = F.lead("s", 1, (most or 0) + 1).over(Window.partitionBy("community").orderBy("iteration"))
+    states = states.withColumn("until", until - 1).withColumn("s", F.greatest("s", F.lit(1))).where("s <= until")
+    rows = states.select("ids", "labels", F.explode(F.sequence("s", "until")).alias("s")).join(scored, "s")
+    return rows.select("iteration", F.explode(F.arrays_zip("ids", "labels")).alias("m")).select("iteration", F.col("m.ids").alias("id"), F.col("m.labels").alias("community"))
+
+
 def girvan_newman(edges: DataFrame, resolution: float = 0.5, scale: float = 0.5, **options: float) -> DataFrame:
     """(iteration, id, community, value): the communities with the highest modularity along Girvan-Newman's removals, the earliest of equal ones.
 
@@ -330,6 +348,6 @@ def girvan_newman(edges: DataFrame, resolution: float = 0.5, scale: float = 0.5,
 
 
 def community_listing(communities: DataFrame) -> DataFrame:
-    """(size, members): members sorted, communities by size and then members. A community's list is one row, as it is the report's form."""
-    lists = communities.groupBy("community").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    """(size, members) of communities (id, community), or (id, label) as label_propagation gives them: members sorted, communities by size and then members. A community's list is one row, as it is the report's form."""
+    lists = communities.groupBy("community" if "community" in communities.columns else "label").agg(F.array_sort(F.collect_list("id")).alias("members"))
     return lists.select(F.size("members").alias("size"), "members").orderBy("size", "members")

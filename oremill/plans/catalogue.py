@@ -67,6 +67,19 @@ def partition_sizes_custom(spark: SparkSession, folder: str) -> DataFrame:
     return explore.partition_profile(readers.reviews(spark, folder).where("business_id is not null"), PARTS, "business_id")
 
 
+def partition_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and sizes of the custom partitions and the businesses with many reviews, in one JSON document."""
+    sizes = partition_sizes_custom(spark, folder)
+    parts = {"n_partitions": sizes.agg(F.count("*").alias("total")), "n_items": sizes.select("rows", F.col("partition").alias("_partition")), "result": businesses_over_n(spark, folder)}
+    return sinks.json_document(parts, {"n_items": [F.col("_partition")], "result": [F.col("business_id")]})
+
+
+def category_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The categories with the best average, in one JSON document."""
+    best = category_avg_stars(spark, folder).limit(TOP)
+    return sinks.json_document({"result": best}, {"result": [-F.col("avg_stars"), F.col("category")]})
+
+
 def businesses_over_n(spark: SparkSession, folder: str) -> DataFrame:
     return explore.busy_businesses(readers.reviews(spark, folder), BUSY)
 
@@ -137,6 +150,13 @@ def frequent_businesses(spark: SparkSession, folder: str) -> DataFrame:
     return _sets(itemsets.frequent_itemsets(rows, 10))
 
 
+def frequent_state_businesses(spark: SparkSession, folder: str) -> DataFrame:
+    """Sets of businesses that the same 10 or more users of the state extract have, by both passes of SON."""
+    rows = written(itemsets.baskets(readers.state_extract(spark, folder), "user_id", "business_id"), "baskets")
+    found = itemsets.son_candidates(rows, 10, 4, F.pmod(F.xxhash64("basket"), F.lit(4)))
+    return _sets(itemsets.frequent_itemsets(rows, 10, found))
+
+
 def itemset_report(spark: SparkSession, folder: str) -> DataFrame:
     rows, support = _event_baskets(spark, folder)
     found = _candidates(rows, support)
@@ -275,6 +295,14 @@ def gn_dendrogram(spark: SparkSession, folder: str) -> DataFrame:
     return graph.gn_dendrogram(_graph(spark, folder)[0])
 
 
+def gn_dendrogram_members(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.dendrogram_members(_graph(spark, folder)[0])
+
+
+def label_community_report(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.community_lines(graph.community_listing(label_propagation(spark, folder)))
+
+
 def community_report(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.community_lines(graph.community_listing(graph.girvan_newman(_graph(spark, folder)[0])))
 
@@ -296,11 +324,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 _QUERIES = (
     review_total, reviews_in_year, distinct_users, top_users, top_words, top_words_not_empty, exploration_report, category_avg_stars, partition_sizes_default,
-    partition_sizes_custom, businesses_over_n, state_pairs, baskets_by_user, baskets_by_item, baskets_min_size, frequent_singles, frequent_pairs,
-    frequent_triples, frequent_all, frequent_businesses, son_candidates, itemset_report, minhash_signatures, lsh_pairs, jaccard_pairs, user_signatures,
+    partition_sizes_custom, partition_report, category_report, businesses_over_n, state_pairs, baskets_by_user, baskets_by_item, baskets_min_size, frequent_singles, frequent_pairs,
+    frequent_triples, frequent_all, frequent_businesses, frequent_state_businesses, son_candidates, itemset_report, minhash_signatures, lsh_pairs, jaccard_pairs, user_signatures,
     word_document_frequency, business_profile, tfidf_top, user_profile, content_scores, item_similarity, user_similarity, user_lsh_pairs, user_similarity_minhash,
     predict_item_based, predict_user_based, graph_edges, graph_vertices, graph_degrees, label_propagation, connected_components, edge_betweenness,
-    edge_removal_first_round, modularity_of_components, girvan_newman, gn_dendrogram, community_report, betweenness_report, p2_found,
+    edge_removal_first_round, modularity_of_components, girvan_newman, gn_dendrogram, gn_dendrogram_members, label_community_report, community_report, betweenness_report, p2_found,
 )
 
 

@@ -45,18 +45,20 @@ def _sets(size: int, scope: str = "") -> str:
     return f"SELECT {scope}{items} AS itemset, CAST({size} AS BIGINT) AS size, count(*) AS support FROM eb e0 {joins} GROUP BY ALL"
 
 
-def _frequent(sizes: range | tuple[int, ...]) -> str:
-    return f"WITH {EB}, {SUPPORT}, a AS (" + " UNION ALL ".join(_sets(k) for k in sizes) + ") SELECT itemset, size, support FROM a, sup WHERE support >= s"
-
-
+FREQUENT = "fr AS (SELECT itemset, size, support FROM (" + " UNION ALL ".join(_sets(k) for k in range(1, 6)) + "), sup WHERE support >= s)"
 CANDIDATES = (
-    f"WITH {EB}, {SUPPORT}, pn AS (SELECT basket % 4 AS pid, count(DISTINCT basket) AS n FROM eb GROUP BY 1), tot AS (SELECT sum(n) AS total FROM pn), a AS ("
+    "pn AS (SELECT basket % 4 AS pid, count(DISTINCT basket) AS n FROM eb GROUP BY 1), tot AS (SELECT sum(n) AS total FROM pn), ca AS (SELECT DISTINCT itemset, size FROM ("
     + " UNION ALL ".join(_sets(k, "e0.basket % 4 AS pid, ") for k in range(1, 6))
-    + ") SELECT DISTINCT itemset, size FROM a JOIN pn USING (pid), sup, tot WHERE support >= ceil(CAST(s * n AS DOUBLE) / total)"
+    + ") JOIN pn USING (pid), sup, tot WHERE support >= ceil(CAST(s * n AS DOUBLE) / total))"
 )
 
+
+def _frequent(condition: str = "true") -> str:
+    return f"WITH {EB}, {SUPPORT}, {FREQUENT} SELECT * FROM fr WHERE {condition}"
+
+
 # Level by level: a set grows by a frequent business behind its last one, and is kept in its baskets if 10 of them hold it.
-FREQUENT_BUSINESSES = f"""WITH RECURSIVE {RV}, dp AS (SELECT DISTINCT user_id, business_id FROM rv WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
+LEVELS = """dp AS (SELECT DISTINCT user_id, business_id FROM source WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
 one AS (SELECT user_id, business_id FROM dp QUALIFY count(*) OVER (PARTITION BY business_id) >= 10),
 held(user_id, itemset, tail, size) AS (SELECT user_id, business_id, business_id, CAST(1 AS BIGINT) FROM one UNION ALL
  (SELECT h.user_id, h.itemset || ',' || o.business_id, o.business_id, h.size + 1 FROM held h JOIN one o ON o.user_id = h.user_id AND o.business_id > h.tail
@@ -160,29 +162,60 @@ def _baskets(key: str, item: str, more: str = "") -> str:
     return f"WITH {SX} SELECT {key} AS basket, count(DISTINCT {item}) AS size, string_agg(DISTINCT {item}, ',' ORDER BY {item}) AS items FROM sx GROUP BY 1{more}"
 
 
+def _listed(rows: str, order: str) -> str:
+    """A JSON list of the texts j of some rows."""
+    return f"(SELECT '[' || coalesce(string_agg(j, ', ' ORDER BY {order}), '') || ']' FROM ({rows}))"
+
+
+TOP_WORDS = f"{SW}, {WORDS}, tops AS (SELECT word, count(*) AS n FROM wd WHERE word NOT IN (SELECT word FROM sw) GROUP BY 1 ORDER BY n DESC, word LIMIT 20)"
+TOP_USERS = "SELECT user_id, count(*) AS n FROM rv WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20"
+EXPLORATION = f"""WITH {RV}, {TOP_WORDS}, us AS ({TOP_USERS})
+SELECT '{{"A": ' || (SELECT count(*) FROM rv) || ', "B": ' || (SELECT count(*) FROM rv WHERE contains(date, '2014')) || ', "C": ' || (SELECT count(DISTINCT user_id) FROM rv) || ', "D": ' ||
+ {_listed("SELECT '[' || to_json(user_id) || ', ' || n || ']' AS j, n, user_id FROM us", "n DESC, user_id")} || ', "E": ' || {_listed("SELECT to_json(word) AS j, n, word FROM tops", "n DESC, word")} || '}}' AS value"""
+AVERAGES = f"""{BZ}, ct AS (SELECT business_id, trim(c) AS category FROM (SELECT business_id, unnest(string_split(categories, ',')) AS c FROM bz WHERE categories IS NOT NULL) WHERE trim(c) <> ''),
+av AS (SELECT category, round(avg(stars), 6) AS avg_stars FROM rv JOIN ct USING (business_id) WHERE stars BETWEEN 1 AND 5 AND NOT isnan(stars) GROUP BY 1)"""
+PARTITIONS = """cs AS (SELECT list_sum(list_transform(string_split(business_id, ''), lambda c: ascii(c))) % 8 AS partition FROM rv WHERE business_id IS NOT NULL),
+ps AS (SELECT CAST(r.p AS INTEGER) AS partition, count(cs.partition) AS rows FROM range(8) AS r(p) LEFT JOIN cs ON cs.partition = r.p GROUP BY 1)"""
+BUSY = "SELECT business_id, count(*) AS n FROM rv WHERE business_id IS NOT NULL GROUP BY 1 HAVING count(*) > 50"
+
+
+def _report_lines(block: int, title: str, rows: str) -> str:
+    """(block, size, part, line) of one block of the itemset report."""
+    shown = "'(' || chr(39) || replace(itemset, ',', chr(39) || ', ' || chr(39)) || chr(39) || ')'"
+    return f"""SELECT {block} AS block, 0 AS size, 0 AS part, '{title}' AS line UNION ALL SELECT {block}, size, 1, string_agg({shown}, ',' ORDER BY string_split(itemset, ',')) FROM {rows} GROUP BY size
+ UNION ALL SELECT DISTINCT {block}, size, 0, '' FROM {rows} WHERE size > 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "review_total": f"WITH {RV} SELECT count(*) AS total FROM rv",
         "reviews_in_year": f"WITH {RV} SELECT count(*) AS total FROM rv WHERE contains(date, '2014')",
         "distinct_users": f"WITH {RV} SELECT count(DISTINCT user_id) AS total FROM rv",
-        "top_users": f"WITH {RV} SELECT user_id, count(*) AS n FROM rv WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20",
-        "top_words": f"WITH {RV}, {SW}, {WORDS} SELECT word, count(*) AS n FROM wd WHERE word NOT IN (SELECT word FROM sw) GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
+        "top_users": f"WITH {RV} {TOP_USERS}",
+        "top_words": f"WITH {RV}, {TOP_WORDS} SELECT * FROM tops",
         "top_words_not_empty": f"WITH {RV}, {SW}, {WORDS} SELECT word, count(*) AS n FROM wd WHERE word <> '' AND word NOT IN (SELECT word FROM sw) GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
-        "category_avg_stars": f"""WITH {RV}, {BZ}, ct AS (SELECT business_id, trim(c) AS category FROM (SELECT business_id, unnest(string_split(categories, ',')) AS c FROM bz WHERE categories IS NOT NULL) WHERE trim(c) <> '')
-SELECT category, round(avg(stars), 6) AS avg_stars FROM rv JOIN ct USING (business_id) WHERE stars BETWEEN 1 AND 5 AND NOT isnan(stars) GROUP BY 1""",
-        "partition_sizes_custom": f"""WITH {RV}, cs AS (SELECT list_sum(list_transform(string_split(business_id, ''), lambda c: ascii(c))) % 8 AS partition FROM rv WHERE business_id IS NOT NULL)
-SELECT CAST(r.p AS INTEGER) AS partition, count(cs.partition) AS rows FROM range(8) AS r(p) LEFT JOIN cs ON cs.partition = r.p GROUP BY 1""",
-        "businesses_over_n": f"WITH {RV} SELECT business_id, count(*) AS n FROM rv WHERE business_id IS NOT NULL GROUP BY 1 HAVING count(*) > 50",
+        "exploration_report": EXPLORATION,
+        "category_avg_stars": f"WITH {RV}, {AVERAGES} SELECT * FROM av",
+        "category_report": f"""WITH {RV}, {AVERAGES}, best AS (SELECT * FROM av ORDER BY avg_stars DESC, category LIMIT 20)
+SELECT '{{"result": ' || {_listed("SELECT '[' || to_json(category) || ', ' || to_json(avg_stars) || ']' AS j, avg_stars, category FROM best", "avg_stars DESC, category")} || '}}' AS value""",
+        "partition_sizes_custom": f"WITH {RV}, {PARTITIONS} SELECT * FROM ps",
+        "partition_report": f"""WITH {RV}, {PARTITIONS}, busy AS ({BUSY})
+SELECT '{{"n_partitions": ' || (SELECT count(*) FROM ps) || ', "n_items": ' || {_listed("SELECT CAST(rows AS VARCHAR) AS j, partition FROM ps", "partition")} || ', "result": ' ||
+ {_listed("SELECT '[' || to_json(business_id) || ', ' || n || ']' AS j, business_id FROM busy", "business_id")} || '}}' AS value""",
+        "businesses_over_n": f"WITH {RV} {BUSY}",
         "state_pairs": f"WITH {RV}, {BZ} SELECT user_id, business_id FROM rv WHERE user_id IS NOT NULL AND business_id IN (SELECT business_id FROM bz WHERE state = 'NV')",
         "baskets_by_user": _baskets("user_id", "business_id"),
         "baskets_by_item": _baskets("business_id", "user_id"),
         "baskets_min_size": _baskets("user_id", "business_id", " HAVING count(DISTINCT business_id) > 3"),
-        "frequent_singles": _frequent((1,)),
-        "frequent_pairs": _frequent((2,)),
-        "frequent_triples": _frequent((3,)),
-        "frequent_all": _frequent(range(1, 6)),
-        "frequent_businesses": FREQUENT_BUSINESSES,
-        "son_candidates": CANDIDATES,
+        "frequent_singles": _frequent("size = 1"),
+        "frequent_pairs": _frequent("size = 2"),
+        "frequent_triples": _frequent("size = 3"),
+        "frequent_all": _frequent(),
+        "frequent_businesses": f"WITH RECURSIVE {RV}, source AS (SELECT * FROM rv), {LEVELS}",
+        "frequent_state_businesses": f"WITH RECURSIVE {SX}, source AS (SELECT * FROM sx), {LEVELS}",
+        "son_candidates": f"WITH {EB}, {SUPPORT}, {CANDIDATES} SELECT * FROM ca",
+        "itemset_report": f"""WITH {EB}, {SUPPORT}, {FREQUENT}, {CANDIDATES}, rows AS ({_report_lines(0, "Candidates:", "ca")} UNION ALL SELECT 1, -1, 0, '' UNION ALL {_report_lines(1, "Frequent Itemsets:", "fr")})
+SELECT CAST(row_number() OVER (ORDER BY block, size, part) AS INTEGER) AS no, line FROM rows""",
         "minhash_signatures": f"{MINHASH} SELECT id, CAST(band AS INTEGER) AS band, hash FROM sg",
         "lsh_pairs": f"{MINHASH} SELECT DISTINCT x.id AS b1, y.id AS b2 FROM sg x JOIN sg y ON x.band = y.band AND x.hash = y.hash AND x.id < y.id",
         "jaccard_pairs": JACCARD,
@@ -205,8 +238,11 @@ SELECT rv.user_id, rv.business_id, round(n / (sqrt(nu) * sqrt(nb)), 6) AS sim FR
         "graph_vertices": f"WITH {GRAPH} SELECT DISTINCT src AS id FROM sy",
         "graph_degrees": f"WITH {GRAPH} SELECT src AS id, count(*) AS degree FROM sy GROUP BY 1",
         "label_propagation": _labels(),
+        "label_community_report": f"""{_labels().replace(" SELECT id, label FROM l5", "")}
+SELECT string_agg(chr(39) || id || chr(39), ', ' ORDER BY id) AS line FROM l5 GROUP BY label""",
         "connected_components": f"{COMPONENTS} SELECT id, community FROM cc",
         "edge_betweenness": f"{_betweenness()} SELECT src, dst, round(value, 6) AS value FROM bt",
+        "betweenness_report": f"{_betweenness()} SELECT '(' || chr(39) || src || chr(39) || ', ' || chr(39) || dst || chr(39) || '), ' || CAST(round(value, 6) AS VARCHAR) AS line FROM bt",
         "edge_removal_first_round": f"{_betweenness()} SELECT src, dst FROM bt WHERE value < (SELECT max(value) FROM bt) * (1 - 1e-9)",
         "modularity_of_components": MODULARITY,
     }

@@ -49,8 +49,13 @@ def clean_stopwords(words: DataFrame) -> DataFrame:
     return words.select(word.alias("word")).where(F.col("word").isNotNull()).distinct()
 
 
-def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A profile model, one JSON object: (business_id, word) and (user_id, word)."""
+def read_profiles(spark: SparkSession, path: str, form: str = "json") -> tuple[DataFrame, DataFrame]:
+    """A profile model: (business_id, word) and (user_id, word). form `json` is one JSON object with a list of words for each id, `parquet` the
+    two tables of sinks.write_profiles."""
+    if form == "parquet":
+        return tuple(spark.read.parquet(f"{path}/{side}").select(key, "word") for side, key in (("businesses", "business_id"), ("users", "user_id")))
+    if form != "json":
+        raise ValueError("form is json or parquet")
     model = read_json(spark, path, PROFILES)
 
     def side(column: str, key: str) -> DataFrame:

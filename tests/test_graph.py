@@ -112,6 +112,10 @@ def test_girvan_newman_matches_a_plain_loop(spark, seed):
     assert [(r.iteration, r.communities) for r in steps] == [(i, n) for i, _, n, _ in want]
     assert all(abs(r.value - s) < 2e-6 for r, (_, s, _, _) in zip(steps, want, strict=True))
     best = max(want, key=lambda x: (round(x[1], 12), -x[0]))
+    held: dict = defaultdict(dict)
+    for r in graph.dendrogram_members(df).collect():
+        held[r.iteration][r.id] = r.community
+    assert held == {i: label for i, _, _, label in want}
     rows = graph.girvan_newman(df).collect()
     assert {r.iteration for r in rows} == {best[0]} and {r.id: r.community for r in rows} == best[3]
 
@@ -120,6 +124,7 @@ def test_one_edge_has_no_score(spark):
     rows = graph.girvan_newman(frame(spark, [("a", "b")])).collect()
     assert sorted((r.iteration, r.id, r.community, r.value) for r in rows) == [(0, "a", "a", None), (0, "b", "a", None)]
     assert graph.girvan_newman(frame(spark, [("a", "b")]).limit(0)).collect() == []
+    assert graph.dendrogram_members(frame(spark, [("a", "b")])).collect() == []
 
 
 def test_label_propagation_is_synchronous(spark):
@@ -140,4 +145,6 @@ def test_co_review_graph(spark):
 
 def test_listing(spark):
     df = spark.createDataFrame([("b", "b"), ("c", "c"), ("d", "c"), ("a", "a")], "id string, community string")
-    assert [r.line for r in sinks.community_lines(graph.community_listing(df)).collect()] == ["'a'", "'b'", "'c', 'd'"]
+    for name in ("community", "label"):
+        lines = sinks.community_lines(graph.community_listing(df.withColumnRenamed("community", name)))
+        assert [r.line for r in lines.collect()] == ["'a'", "'b'", "'c', 'd'"]

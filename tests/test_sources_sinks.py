@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from oremill.sources import readers, sinks
 
@@ -37,8 +38,13 @@ def test_sinks_round_trip(spark, tmp_path):
     assert readers.read_json(spark, str(tmp_path / "j"), readers.ITEM_MODEL).collect() == df.collect()
     sinks.write_csv(df.select("b1", "b2"), str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).collect() == [("b1", "b2")]
-    sinks.write_profiles(df, df, str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p/users")).count() == 1
+    businesses = spark.createDataFrame([("b1", "x", 0.5, 1), ("b1", "y", 0.25, 2)], "business_id string, word string, score double, rank int")
+    users = spark.createDataFrame([("u1", "x", 1)], "user_id string, word string, rank int")
+    sinks.write_profiles(businesses, users, str(tmp_path / "p"))
+    one, two = readers.read_profiles(spark, str(tmp_path / "p"), "parquet")
+    assert sorted(one.collect()) == [("b1", "x"), ("b1", "y")] and two.collect() == [("u1", "x")]
+    with pytest.raises(ValueError):
+        readers.read_profiles(spark, str(tmp_path / "p"), "csv")
     lines = sinks.betweenness_lines(spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.5)], "src string, dst string, value double"))
     assert [r.line for r in lines.collect()] == ["('a', 'c'), 2.5", "('a', 'b'), 1.0"]
     sinks.write_text(lines, str(tmp_path / "t"))
@@ -49,4 +55,7 @@ def test_json_document(spark):
     total = spark.createDataFrame([(3,)], "total long")
     tops = spark.createDataFrame([("u", 2)], "user_id string, n long")
     text = sinks.json_document({"A": total, "D": tops, "E": tops.select("user_id")}).first()[0]
-    assert json.loads(text) == {"A": 3, "D": [["u", 2]], "E": ["u"]}
+    assert text == '{"A": 3, "D": [["u", 2]], "E": ["u"]}'
+    rows = spark.createDataFrame([(i * 7 % 20, i) for i in range(20)], "n long, _i int").repartition(5)
+    text = sinks.json_document({"z": rows, "a": rows.limit(0)}, {"z": [F.col("_i")]}).first()[0]
+    assert text == '{"z": ' + str([i * 7 % 20 for i in range(20)]) + ', "a": []}'
