@@ -64,6 +64,12 @@ p AS (SELECT b1, b2, max(sim) AS sim FROM m WHERE b1 IS NOT NULL AND b2 IS NOT N
 SELECT b1, b2 FROM (SELECT b1, b2, row_number() OVER (PARTITION BY b1 ORDER BY sim DESC, b2) AS k FROM p) WHERE k <= 5"""
 
 
+P7 = f"""WITH RECURSIVE sx AS (SELECT DISTINCT u, b FROM (SELECT {_id('user_id')} AS u, {_id('business_id')} AS b FROM sample_data) WHERE u IS NOT NULL AND b IS NOT NULL),
+e AS (SELECT u AS x, b AS y FROM sx UNION SELECT b, u FROM sx),
+reached(member_id, far) AS (SELECT DISTINCT x, x FROM e UNION SELECT member_id, e.y FROM reached JOIN e ON e.x = reached.far)
+SELECT member_id, min(far) AS group_id FROM reached GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{P1} SELECT term, mark FROM m WHERE mark IS NOT NULL",
@@ -74,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": P5,
         "p5_enriched": P5_ENRICHED,
         "p6_found": P6,
+        "p7_found": P7,
     }
