@@ -32,10 +32,11 @@ def numbered(keys: DataFrame, key: str, number: str) -> DataFrame:
     return written(ordered.withColumn(number, F.monotonically_increasing_id()), "numbers")
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 1000, least: int = 10_000) -> DataFrame:
-    """Keys that hold more than 1/share of all rows (and more than `least`), with the number of pieces they should be split into.
+def hot_keys(df: DataFrame, key: str, share: int = 100_000, least: int = 10_000) -> DataFrame:
+    """Keys that hold more than `least` rows, with the number of pieces of that size they should be split into: (key, pieces). Null keys are ignored.
 
-    At most `share` keys can hold that much, so the result is small at any size of df: (key, pieces). Null keys are ignored.
+    There are at most `share` of them, so that the result may be broadcast at any size of df: above share * least rows, 10^9 as it stands, the bound is
+    1/share of the rows.
     """
     total = df.count()
     bound = max(least, total // share)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oremill.functions.ids import hot_keys
 from oremill.functions.shared import written
 from oremill.functions.text import PUNCTUATION_AND_DIGITS, clean_word, whitespace_tokens
+from oremill.operators.similarity import dense_index
 
 
 def document_words(reviews: DataFrame, stopwords: DataFrame) -> DataFrame:
@@ -37,24 +39,50 @@ def tfidf_profile(reviews: DataFrame, stopwords: DataFrame, k: int = 200) -> Dat
     return ranked.where(F.col("rank") <= k)
 
 
-def user_profile(reviews: DataFrame, business_profile: DataFrame, k: int = 200) -> DataFrame:
-    """(user_id, word, rank): words of all businesses that the user reviewed, by the number of those businesses, ties by word."""
-    visited = reviews.select("user_id", "business_id").where("user_id is not null and business_id is not null").distinct()
-    counts = visited.join(business_profile.select("business_id", "word"), "business_id").groupBy("user_id", "word").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("user_id").orderBy(F.desc("n"), "word")
-    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("user_id", "word", "rank")
+def _word_numbers(profile: DataFrame) -> DataFrame:
+    """(word, w): the profiles' words numbered in their order."""
+    return dense_index(profile, "word", "w")
+
+
+def _lists(profile: DataFrame, key: str, numbers: DataFrame) -> DataFrame:
+    """(key, ws): a profile's words as an array of their numbers, which is a fraction of what the words weigh as rows."""
+    return profile.select(key, "word").join(numbers, "word").groupBy(key).agg(F.collect_list("w").alias("ws"))
+
+
+def user_profile(reviews: DataFrame, business_profile: DataFrame, k: int = 200, hot: int = 10_000) -> DataFrame:
+    """(user_id, word, rank): words of all businesses that the user reviewed, by the number of those businesses, ties by word.
+
+    The businesses' profiles move to the users as arrays of word numbers and are taken apart there, so that neither the counts nor the ranks move again.
+    Users with over `hot` businesses are counted before they move.
+    """
+    visited = written(reviews.select("user_id", "business_id").where("user_id is not null and business_id is not null").distinct(), "visited")
+    profile = business_profile.select("business_id", "word")
+    numbers = written(_word_numbers(profile), "words")
+    lists = _lists(profile, "business_id", numbers)
+    often = F.broadcast(hot_keys(visited, "user_id", least=hot).select("user_id"))
+    best = Window.partitionBy("user_id").orderBy(F.desc("n"), "w")
+
+    def ranked(held: DataFrame) -> DataFrame:
+        counts = held.select("user_id", F.explode("ws").alias("w")).groupBy("user_id", "w").agg(F.count("*").alias("n"))
+        return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    few = ranked(visited.join(often, "user_id", "left_anti").join(lists, "business_id").select("user_id", "ws").repartition("user_id"))
+    many = ranked(visited.join(often, "user_id", "left_semi").join(lists, "business_id"))
+    return few.unionByName(many).join(numbers, "w").select("user_id", "word", "rank")
 
 
 def content_scores(pairs: DataFrame, users: DataFrame, businesses: DataFrame, threshold: float = 0.01) -> DataFrame:
     """(user_id, business_id, sim): cosine of both sides' word sets, where at least the threshold, which must be above 0. Repeated pairs
-    stay repeated; a pair of which one side has no profile drops out."""
+    stay repeated; a pair of which one side has no profile drops out. Profiles are (key, word), each word once."""
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
     users, businesses = written(users.select("user_id", "word"), "users"), written(businesses.select("business_id", "word"), "businesses")
+    # Words that no business has are in nothing common: they count in the user's length only.
+    numbers = written(_word_numbers(businesses), "words")
+    own = users.groupBy("user_id").agg(F.count("*").alias("nu")).join(_lists(users, "user_id", numbers).withColumnRenamed("ws", "wu"), "user_id")
+    its = _lists(businesses, "business_id", numbers).withColumnRenamed("ws", "wb")
     wanted = pairs.groupBy("user_id", "business_id").agg(F.count("*").alias("times"))
-    common = wanted.join(businesses, "business_id").join(users, ["user_id", "word"]).groupBy("user_id", "business_id").agg(F.count("*").alias("n"), F.first("times").alias("times"))
-    own = users.groupBy("user_id").agg(F.count("*").alias("nu"))
-    its = businesses.groupBy("business_id").agg(F.count("*").alias("nb"))
-    scored = common.join(own, "user_id").join(its, "business_id").withColumn("sim", F.col("n") / (F.sqrt("nu") * F.sqrt("nb")))
+    met = wanted.join(own, "user_id").join(its, "business_id").withColumn("n", F.size(F.array_intersect("wu", "wb")))
+    scored = met.withColumn("sim", F.col("n") / (F.sqrt("nu") * F.sqrt(F.size("wb"))))
     kept = scored.where(F.col("sim") >= threshold).select("user_id", "business_id", F.round("sim", 6).alias("sim"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_"))
     return kept.drop("_")

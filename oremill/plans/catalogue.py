@@ -189,28 +189,33 @@ def user_signatures(spark: SparkSession, folder: str) -> DataFrame:
 # Content --------------------------------------------------------------------------------------------------------------
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews for profiles, which take each (business, user, text) once: a redelivery is one of its repeats, and needs no shuffle of its own."""
+    return readers.reviews(spark, folder, once=False)
+
+
 def word_document_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return content.document_frequency(content.document_words(readers.reviews(spark, folder), _stopwords(spark, folder)))
+    return content.document_frequency(content.document_words(_texts(spark, folder), _stopwords(spark, folder)))
 
 
 def business_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return content.tfidf_profile(readers.reviews(spark, folder), _stopwords(spark, folder))
+    return content.tfidf_profile(_texts(spark, folder), _stopwords(spark, folder))
 
 
 def tfidf_top(spark: SparkSession, folder: str) -> DataFrame:
-    return content.tfidf_profile(readers.reviews(spark, folder), _stopwords(spark, folder), 10)
+    return content.tfidf_profile(_texts(spark, folder), _stopwords(spark, folder), 10)
 
 
 def user_profile(spark: SparkSession, folder: str) -> DataFrame:
-    reviews = readers.reviews(spark, folder)
-    return content.user_profile(reviews, content.tfidf_profile(reviews, _stopwords(spark, folder)))
+    profile = written(content.tfidf_profile(_texts(spark, folder), _stopwords(spark, folder)), "profile")
+    return content.user_profile(_texts(spark, folder), profile)
 
 
 def content_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of the profiles of all users and the businesses they reviewed."""
-    reviews = readers.reviews(spark, folder)
+    reviews = _texts(spark, folder)
     profile = written(content.tfidf_profile(reviews, _stopwords(spark, folder)), "profile")
-    pairs = reviews.select("user_id", "business_id").where("user_id is not null and business_id is not null")
+    pairs = readers.reviews(spark, folder).select("user_id", "business_id").where("user_id is not null and business_id is not null")
     return content.content_scores(pairs, content.user_profile(reviews, profile), profile)
 
 

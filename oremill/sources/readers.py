@@ -71,12 +71,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def reviews(spark: SparkSession, folder: str) -> DataFrame:
+def reviews(spark: SparkSession, folder: str, once: bool = True) -> DataFrame:
     """The review table in the reviews' form: ids trimmed, null where there is no valid one, each review once. A query leaves out the
-    reviews that lack an id it needs."""
+    reviews that lack an id it needs. Without `once` a review comes as often as it was delivered, for queries to which it makes no difference."""
     rows = table(spark, folder, "review")
     rows = rows.select("review_id", valid_id("user_id").alias("user_id"), valid_id("business_id").alias("business_id"), "stars", "date", "text")
-    return rows.where("review_id is not null").dropDuplicates(["review_id"])
+    rows = rows.where("review_id is not null")
+    return rows.dropDuplicates(["review_id"]) if once else rows
 
 
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
