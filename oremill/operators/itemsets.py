@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oremill.functions.shared import written
+from oremill.functions.shared import discard, written
+from oremill.operators.pairs import met
+from oremill.operators.similarity import dense_index
 
 
 def baskets(df: DataFrame, key: str, item: str, min_size: int | None = None) -> DataFrame:
@@ -29,29 +31,36 @@ def basket_lists(rows: DataFrame) -> DataFrame:
 def _levels(rows: DataFrame, scope: list[str], least: DataFrame | int, most_size: int | None) -> list[DataFrame]:
     """Level-wise A-priori: for each size (scope.., itemset, support) of the sets that reach `least` within each scope.
 
-    Itemsets are kept with the baskets that hold them; two of them with equal items but the last make the next candidates.
+    Frequent items are numbered in their order, and sets are kept as numbers with the baskets that hold them: all but the last as `prefix`, and the last. Two sets
+    of a basket with equal prefixes make a candidate of the next size; a basket with very many of them is paired in blocks (see pairs.met).
     """
-    found = []
-    held = rows.select(*scope, "basket", F.array("item").alias("itemset"))
-    size = 1
-    while True:
-        counts = held.groupBy(*scope, "itemset").agg(F.count("*").alias("support"))
+
+    def enough(counts: DataFrame) -> DataFrame:
         if isinstance(least, int):
-            counts = counts.where(F.col("support") >= least)
-        else:
-            counts = counts.join(F.broadcast(least), scope).where(F.col("support") >= F.col("least")).drop("least")
-        counts = written(counts, "itemsets")
+            return counts.where(F.col("support") >= least)
+        return counts.join(F.broadcast(least), scope).where(F.col("support") >= F.col("least")).drop("least")
+
+    singles = written(enough(rows.groupBy(*scope, "item").agg(F.count("*").alias("support"))), "itemsets")
+    if singles.isEmpty():
+        return []
+    numbers = written(dense_index(singles, "item", "x").withColumn("x", F.col("x").cast("int")), "items")
+    found = [singles.select(*scope, F.array("item").alias("itemset"), "support")]
+    kept = rows.join(singles.select(*scope, "item"), [*scope, "item"], "left_semi").join(numbers, "item")
+    held = written(kept.select(*scope, "basket", F.array().cast("array<int>").alias("prefix"), "x"), "held")
+
+    def named(counts: DataFrame) -> DataFrame:
+        each = counts.select(*scope, "support", F.array_append("prefix", F.col("x")).alias("set")).select("*", F.explode("set").alias("x")).join(numbers, "x")
+        return each.groupBy(*scope, "set", "support").agg(F.array_sort(F.collect_list("item")).alias("itemset")).select(*scope, "itemset", "support")
+
+    while len(found) != most_size:
+        grown = met(held, [*scope, "basket", "prefix"], "x").select(*scope, "basket", F.array_append("prefix", F.col("left")).alias("prefix"), F.col("right").alias("x"))
+        counts = written(enough(grown.groupBy(*scope, "prefix", "x").agg(F.count("*").alias("support"))), "itemsets")
         if counts.isEmpty():
             break
-        found.append(counts)
-        if size == most_size:
-            break
-        kept = written(held.join(counts.drop("support"), [*scope, "itemset"], "left_semi"), "held")
-        left = kept.select(*scope, "basket", F.slice("itemset", 1, size - 1).alias("prefix") if size > 1 else F.array().cast("array<string>").alias("prefix"), F.element_at("itemset", -1).alias("x"))
-        right = left.withColumnRenamed("x", "y")
-        held = left.join(right, [*scope, "basket", "prefix"]).where("x < y")
-        held = held.select(*scope, "basket", F.concat("prefix", F.array("x", "y")).alias("itemset"))
-        size += 1
+        found.append(named(counts))
+        before = held
+        held = written(grown.join(counts.select(*scope, "prefix", "x"), [*scope, "prefix", "x"], "left_semi"), "held")
+        discard(before)
     return found
 
 
