@@ -25,14 +25,20 @@ def document_frequency(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("businesses"))
 
 
-def tfidf_profile(reviews: DataFrame, stopwords: DataFrame, k: int = 200) -> DataFrame:
+def tfidf_profile(reviews: DataFrame, stopwords: DataFrame, k: int = 200, most_heavy: int = 65_536) -> DataFrame:
     """(business_id, word, score, rank): the k words with the highest (count / highest count) * log2(N / n_word), ties by word; N counts the
     businesses with a review. A business without words has no rows."""
     # Read three times: tokenising once is worth a table.
     words = written(document_words(reviews, stopwords), "words")
     total = reviews.where("business_id is not null").agg(F.count_distinct("business_id")).first()[0]
     top = words.groupBy("business_id").agg(F.max("n").alias("top"))
-    scored = words.join(document_frequency(words), "word").join(top, "business_id")
+    frequencies = written(document_frequency(words), "frequencies")
+    entries = frequencies.agg(F.sum("businesses")).first()[0] or 0
+    # Fewer than `most_heavy` words have over 1 / most_heavy of the entries each: they are broadcast, and only the other words' rows move to their frequency.
+    often = (F.col("businesses") * most_heavy > entries) & (F.length("word") <= 200)
+    heavy = F.broadcast(frequencies.where(often))
+    found = words.join(heavy, "word").unionByName(words.join(heavy.select("word"), "word", "left_anti").join(frequencies.where(~often), "word"))
+    scored = found.join(top, "business_id")
     score = F.round(F.col("n") / F.col("top") * F.log2(F.lit(float(max(total, 1))) / F.col("businesses")), 6)
     best = Window.partitionBy("business_id").orderBy(F.desc("score"), "word")
     ranked = scored.select("business_id", "word", score.alias("score")).withColumn("rank", F.row_number().over(best))

@@ -16,9 +16,12 @@ def test_profiles(spark):
     stop = spark.createDataFrame(STOP, "word string")
     got = {(r.business_id, r.word): (r.score, r["rank"]) for r in content.tfidf_profile(reviews(spark), stop).collect()}
     assert got == {("b1", "pizza"): (round(math.log2(3), 6), 1), ("b1", "best"): (round(math.log2(3 / 2) / 3, 6), 2), ("b2", "sushi"): (round(math.log2(3), 6), 1), ("b2", "best"): (round(math.log2(3 / 2), 6), 2)}
+    for heavy in (1, 2):
+        assert got == {(r.business_id, r.word): (r.score, r["rank"]) for r in content.tfidf_profile(reviews(spark), stop, most_heavy=heavy).collect()}
     profile = content.tfidf_profile(reviews(spark), stop)
     users = content.user_profile(reviews(spark), profile, 2)
     assert [(r.user_id, r.word) for r in users.orderBy("user_id", "rank").collect()] == [("u1", "best"), ("u1", "pizza"), ("u2", "best"), ("u2", "pizza")]
+    assert sorted(map(tuple, content.user_profile(reviews(spark), profile, 2, hot=1).collect())) == sorted(map(tuple, users.collect()))
     pairs = spark.createDataFrame([("u1", "b2"), ("u1", "b2"), ("u3", "b1"), ("u1", None)], "user_id string, business_id string")
     assert [tuple(r) for r in content.content_scores(pairs, users, profile).collect()] == [("u1", "b2", 0.5)] * 2
     assert content.tfidf_profile(reviews(spark).limit(0), stop).collect() == []
