@@ -11,13 +11,22 @@ from oremill.functions.text import PUNCTUATION_AND_DIGITS, clean_word, whitespac
 from oremill.operators.similarity import dense_index
 
 
-def document_words(reviews: DataFrame, stopwords: DataFrame) -> DataFrame:
-    """(business_id, word, n): counts of the words of a business's reviews, each (business, user, text) once. stopwords has (word)."""
-    texts = reviews.select("business_id", "user_id", "text").where("business_id is not null and text is not null").distinct()
-    words = texts.select("business_id", F.explode(whitespace_tokens(F.col("text"))).alias("token"))
-    words = words.select("business_id", clean_word(F.col("token"), PUNCTUATION_AND_DIGITS).alias("word")).where(F.col("word") != "")
-    counts = words.groupBy("business_id", "word").agg(F.count("*").alias("n"))
-    return counts.join(stopwords.select("word"), "word", "left_anti").select("business_id", "word", "n")
+def document_words(reviews: DataFrame, stopwords: DataFrame, hot: int = 10_000) -> DataFrame:
+    """(business_id, word, n): counts of the words of a business's reviews, each (business, user, text) once. stopwords has (word).
+
+    The texts move to their business once and are counted there. A business of over `hot` rows is spread by user and text, and only its counts are added up
+    after.
+    """
+    texts = reviews.select("business_id", "user_id", "text").where("business_id is not null and text is not null")
+    spread = F.pmod(F.xxhash64("user_id", "text"), F.col("pieces")).cast("int")
+    texts = texts.join(F.broadcast(hot_keys(texts, "business_id", least=hot)), "business_id", "left").select("business_id", F.coalesce(spread, F.lit(-1)).alias("part"), "user_id", "text")
+    texts = texts.repartition("business_id", "part").distinct()
+    words = texts.select("business_id", "part", F.explode(whitespace_tokens(F.col("text"))).alias("token"))
+    words = words.select("business_id", "part", clean_word(F.col("token"), PUNCTUATION_AND_DIGITS).alias("word")).where(F.col("word") != "")
+    counts = words.groupBy("business_id", "part", "word").agg(F.count("*").alias("n")).join(stopwords.select("word"), "word", "left_anti")
+    counts = written(counts.select("business_id", "part", "word", "n"), "words")
+    many = counts.where("part >= 0").groupBy("business_id", "word").agg(F.sum("n").alias("n"))
+    return counts.where("part < 0").select("business_id", "word", "n").unionByName(many)
 
 
 def document_frequency(words: DataFrame) -> DataFrame:
@@ -28,8 +37,7 @@ def document_frequency(words: DataFrame) -> DataFrame:
 def tfidf_profile(reviews: DataFrame, stopwords: DataFrame, k: int = 200, most_heavy: int = 65_536) -> DataFrame:
     """(business_id, word, score, rank): the k words with the highest (count / highest count) * log2(N / n_word), ties by word; N counts the
     businesses with a review. A business without words has no rows."""
-    # Read three times: tokenising once is worth a table.
-    words = written(document_words(reviews, stopwords), "words")
+    words = document_words(reviews, stopwords)
     total = reviews.where("business_id is not null").agg(F.count_distinct("business_id")).first()[0]
     top = words.groupBy("business_id").agg(F.max("n").alias("top"))
     frequencies = written(document_frequency(words), "frequencies")

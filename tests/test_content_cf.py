@@ -16,6 +16,9 @@ def test_profiles(spark):
     stop = spark.createDataFrame(STOP, "word string")
     got = {(r.business_id, r.word): (r.score, r["rank"]) for r in content.tfidf_profile(reviews(spark), stop).collect()}
     assert got == {("b1", "pizza"): (round(math.log2(3), 6), 1), ("b1", "best"): (round(math.log2(3 / 2) / 3, 6), 2), ("b2", "sushi"): (round(math.log2(3), 6), 1), ("b2", "best"): (round(math.log2(3 / 2), 6), 2)}
+    plain = sorted(map(tuple, content.document_words(reviews(spark), stop).collect()))
+    assert plain == [("b1", "best", 1), ("b1", "pizza", 3), ("b2", "best", 1), ("b2", "sushi", 1)]
+    assert plain == sorted(map(tuple, content.document_words(reviews(spark), stop, hot=1).collect()))
     for heavy in (1, 2):
         assert got == {(r.business_id, r.word): (r.score, r["rank"]) for r in content.tfidf_profile(reviews(spark), stop, most_heavy=heavy).collect()}
     profile = content.tfidf_profile(reviews(spark), stop)
