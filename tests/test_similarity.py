@@ -95,3 +95,24 @@ def test_lsh_buckets_of_any_size(spark, sets):
         by.setdefault((r.band, r.hash), []).append(r.id)
     want = {(a, b) for held in by.values() for a in held for b in held if a < b}
     assert sorted(map(tuple, similarity.lsh_pairs(signatures).collect())) == sorted(want)
+
+
+def test_lsh_pairs_are_not_shuffled(sets):
+    """Pairs are found in tiles, each once: their number doesn't count on disk. Blocks of any size give the same."""
+    signatures = similarity.minhash_signatures(sets, n=12)
+    found = similarity.lsh_pairs(signatures)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(b1" not in plan and "hashpartitioning(left" not in plan
+    want = sorted(map(tuple, found.collect()))
+    assert len(want) == len(set(want)) > 50
+    for block in (1, 4, 1000):
+        assert sorted(map(tuple, similarity.lsh_pairs(signatures, block).collect())) == want
+
+
+def test_marks_of_any_size(spark):
+    """Bands and hashes below 0 and beyond an int, several hashes of a band, repeated rows, ids without a partner."""
+    rows = [("a", -3, -(1 << 40)), ("b", -3, -(1 << 40)), ("b", -3, -(1 << 40)), ("c", -3, 1 << 40), ("b", -3, 1 << 40), ("c", 7, 1 << 40), ("d", 7, 5), (None, 7, 5), ("e", None, 5)]
+    signatures = spark.createDataFrame(rows, "id string, band int, hash bigint")
+    for block in (None, 1, 2):
+        assert sorted(map(tuple, similarity.lsh_pairs(signatures, block).collect())) == [("a", "b"), ("b", "c")]
+    assert similarity.lsh_pairs(signatures.limit(0)).collect() == []
