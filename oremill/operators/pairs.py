@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oremill.operators.tiles import sharing_pairs
+
 #: Most rows of a group that are paired in one piece of work; larger groups are cut into blocks of about this size.
 BLOCK = 1000
 
@@ -45,20 +47,11 @@ def shared_groups(rows: DataFrame, member: str, group: str, least: int = 1, valu
     """Pairs of members with at least `least` common groups: (left, right, n) with left < right; with a value also the sums sx, sy, sxx, syy, sxy
     over the common groups, x being the left member's. rows has distinct (member, group) without nulls.
 
-    With least = 1 every pair of a group is a result, and is counted group by group. Otherwise groups are ordered by size, and each member leaves out its
-    least - 1 largest: the smallest group that a pair of `least` common ones shares is among the others of both. Pairs that meet in what is left
-    are then counted over all their groups. So a group is only expanded among members that are in least - 1 larger ones, and the largest
-    least - 1 groups are not expanded at all. Groups are expanded in blocks (see met).
+    With least = 1 every pair of a group is a result, and is counted group by group, in blocks (see met). Otherwise pairs are found in tiles of blocks of
+    members, each once and with all of its sums (see tiles.sharing_pairs), so that the pairs themselves are not shuffled.
     """
     more = [F.col(value).cast("double").alias("v")] if value else []
     rows = rows.select(F.col(member).alias("m"), F.col(group).alias("g"), *more)
-    carried = ("v",) if value else ()
     if least <= 1:
-        return met(rows, ["g"], "m", carried, block).groupBy("left", "right").agg(*_sums(value))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("k"))
-    # Spark keeps only the first rows of each member's before the shuffle (a window group limit).
-    order = Window.partitionBy("m").orderBy(F.desc("k"), F.desc("g"))
-    largest = rows.select("m", "g").join(sizes, "g").withColumn("r", F.row_number().over(order)).where(F.col("r") < least).select("m", "g")
-    rest = rows.select("m", "g").join(largest, ["m", "g"], "left_anti")
-    pairs = met(rest, ["g"], "m", (), block).select("left", "right").distinct()
-    return shared_by(pairs, rows, "m", "g", "v" if value else None).where(F.col("n") >= least)
+        return met(rows, ["g"], "m", ("v",) if value else (), block).groupBy("left", "right").agg(*_sums(value))
+    return sharing_pairs(rows, least, block=None if block == BLOCK else block).drop("left_size", "right_size")

@@ -74,3 +74,13 @@ def test_user_prediction_needs_neighbours(spark, ratings):
     got = {(r.user_id, r.business_id): r.stars for r in cf.predict_user_based(pairs, ratings, model).collect()}
     shift = ((3 - 3) * 0.5 + (4 - 10 / 3) * 0.4 + (1 - 2) * 0.1) / 1.0
     assert got == {("u1", "a"): round(11 / 3 + shift, 6)}
+
+
+def unshuffled(found):
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    return "hashpartitioning(left" not in plan and "hashpartitioning(right" not in plan
+
+
+def test_items_are_paired_in_tiles(ratings):
+    """Pairs of businesses are not shuffled to be made distinct, counted or looked up."""
+    assert unshuffled(cf.item_similarity(ratings))
