@@ -84,3 +84,15 @@ def unshuffled(found):
 def test_items_are_paired_in_tiles(ratings):
     """Pairs of businesses are not shuffled to be made distinct, counted or looked up."""
     assert unshuffled(cf.item_similarity(ratings))
+
+
+def test_minhash_users_are_paired_in_tiles(spark):
+    """The minhash model is whole: all pairs of the exact one that are pairs of user_lsh_pairs, and others are left out. Its pairs are not shuffled."""
+    rows = [(f"u{u:02d}", f"b{(u * u + 7 * k * (u % 5 + 1)) % 97:02d}", float((u + 3 * k) % 5 + 1)) for u in range(40) for k in range(12)]
+    ratings = spark.createDataFrame(rows, "user_id string, business_id string, stars double")
+    exact = {(r.u1, r.u2): r.sim for r in cf.user_similarity(ratings).collect()}
+    near = set(map(tuple, cf.user_lsh_pairs(ratings, n=2).collect()))
+    model = cf.user_similarity(ratings, mode="minhash", n=2)
+    assert unshuffled(model)
+    got = {(r.u1, r.u2): r.sim for r in model.collect()}
+    assert got == {k: v for k, v in exact.items() if k in near} and 0 < len(got) < len(exact)
