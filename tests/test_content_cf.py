@@ -96,3 +96,9 @@ def test_minhash_users_are_paired_in_tiles(spark):
     assert unshuffled(model)
     got = {(r.u1, r.u2): r.sim for r in model.collect()}
     assert got == {k: v for k, v in exact.items() if k in near} and 0 < len(got) < len(exact)
+
+
+def test_users_are_paired_in_tiles(ratings):
+    """Pairs of users are not shuffled to be made distinct, counted, looked up or compared in size."""
+    found = cf.user_similarity(ratings)
+    assert unshuffled(found) and found.count() > 0
