@@ -3,6 +3,7 @@ import math
 import pytest
 
 from oremill.operators import cf, content
+from oremill.operators.similarity import seeded_signatures
 
 STOP = [("the",), ("",)]
 
@@ -102,3 +103,14 @@ def test_users_are_paired_in_tiles(ratings):
     """Pairs of users are not shuffled to be made distinct, counted, looked up or compared in size."""
     found = cf.user_similarity(ratings)
     assert unshuffled(found) and found.count() > 0
+
+
+def test_user_lsh_pairs_are_not_shuffled(ratings):
+    """All pairs of users with an equal hash in a band, each once; no pair is shuffled."""
+    found = cf.user_lsh_pairs(ratings, n=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert unshuffled(found) and "hashpartitioning(b1" not in plan and "hashpartitioning(u1" not in plan
+    by = {}
+    for r in seeded_signatures(cf.one_rating(ratings).where("user_id in ('u1', 'u2', 'u3', 'u4')"), 3).collect():
+        by.setdefault((r.band, r.hash), set()).add(r.id)
+    assert sorted(map(tuple, found.collect())) == sorted({(a, b) for held in by.values() for a in held for b in held if a < b})
