@@ -1,8 +1,13 @@
 import math
+import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from oremill.operators import cf, content
+from oremill.functions.shared import written
+from oremill.operators import cf, content, nearest
+from oremill.operators.nearest import predicted
 from oremill.operators.similarity import seeded_signatures
 
 STOP = [("the",), ("",)]
@@ -114,3 +119,80 @@ def test_user_lsh_pairs_are_not_shuffled(ratings):
     for r in seeded_signatures(cf.one_rating(ratings).where("user_id in ('u1', 'u2', 'u3', 'u4')"), 3).collect():
         by.setdefault((r.band, r.hash), set()).add(r.id)
     assert sorted(map(tuple, found.collect())) == sorted({(a, b) for held in by.values() for a in held for b in held if a < b})
+
+
+def by_hand(wanted, rated, model, k, least):
+    """predict_user_based, written as loops; repeated rows of the model count as often as they come."""
+    of = {}
+    for u, b, s in rated:
+        of.setdefault(u, {})[b] = max(s, of.get(u, {}).get(b, 0.0))
+    near = [x for u1, u2, sim in model for x in ((u1, u2, sim), (u2, u1, sim))]
+    out = {}
+    for u, b in set(wanted):
+        top = sorted((-sim, o, of[o][b]) for x, o, sim in near if x == u and b in of.get(o, {}))[:k]
+        both = [(-sim, stars, [of[o][c] for c in of.get(u, {}) if c in of[o]]) for sim, o, stars in top]
+        both = [x for x in both if x[2]]
+        weight = sum(sim for sim, *_ in both)
+        if len(both) >= least and weight:
+            mean = sum(of[u].values()) / len(of[u]) + sum((s - sum(c) / len(c)) * sim for sim, s, c in both) / weight
+            if mean >= 0:
+                out[u, b] = round(mean, 6)
+    return out
+
+
+def prediction_case():
+    """Users of whom some want what they didn't rate, with many equal similarities."""
+    rated = [(f"u{u:02d}", f"b{(u * u + 5 * k * (u % 4 + 1)) % 31:02d}", float((u + 3 * k) % 5 + 1)) for u in range(30) for k in range(9)]
+    model = [(f"u{a:02d}", f"u{b:02d}", ((a * b) % 4) / 4 + 0.25) for a in range(30) for b in range(a + 1, 32) if (a + b) % 3]
+    wanted = [(u, b) for u, b, _ in rated if u < "u25"] + [(f"u{u:02d}", f"b{(3 * u) % 31:02d}") for u in range(32)] + [("u01", "zz"), ("zz", "b01"), ("u01", None)]
+    return wanted, rated, model
+
+
+def test_user_predictions_by_hand(spark):
+    """The same in one block and in several; neither what users want and their neighbours nor what they share is shuffled to be joined."""
+    wanted, rated, model = prediction_case()
+    ratings = spark.createDataFrame([*rated, *rated[:20], ("u01", "b01", float("nan")), ("u02", None, 3.0)], "user_id string, business_id string, stars double")
+    pairs = spark.createDataFrame(wanted, "user_id string, business_id string")
+    frame = spark.createDataFrame(model, "u1 string, u2 string, sim double")
+    for k, least in ((11, 3), (2, 1)):
+        found = cf.predict_user_based(pairs, ratings, frame, k, least)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(user_id" not in plan and "hashpartitioning(other" not in plan
+        got = {(r.user_id, r.business_id): r.stars for r in found.collect()}
+        want = by_hand(wanted, rated, model, k, least)
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want) and len(want) > 100
+        parts = predicted(pairs, cf.one_rating(ratings), frame, k, least, blocks=3).collect()
+        assert {(r.user_id, r.business_id) for r in parts} == want.keys() and len(parts) == len(want)
+
+
+def test_user_predictions_in_pieces(monkeypatch):
+    """A block taken in small pieces of work, some of them one user in several, gives what it gives at once. Null similarities come last and weigh nothing."""
+    wanted, rated, model = prediction_case()
+    users, shops = sorted({u for u, *_ in rated}), {b: i for i, b in enumerate(sorted({b for _, b, _ in rated}))}
+    rows = [{"link": True, "id": a, "other": b, "sim": s, "items": [], "stars": [], "wanted": []} for x, y, s in [*model, ("u03", "u04", None)] for a, b in ((x, y), (y, x))]
+    for u in users:
+        stars, want = {b: s for x, b, s in rated if x == u}, {b for x, b in wanted if x == u and b in shops}
+        held = sorted((shops[b], stars.get(b, float("nan")), int(b in want)) for b in {*stars, *want})
+        rows.append({"link": False, "id": u, "other": u, "sim": 0.0, **dict(zip(("items", "stars", "wanted"), map(list, zip(*held, strict=True)), strict=True))})
+    table = pa.Table.from_pylist(rows)
+
+    def of(most):
+        monkeypatch.setattr(nearest, "MOST", most)
+        return {(u, i): s for ids, items, stars in nearest._block(table, 4, 2) for u, i, s in zip(ids.to_pylist(), items.tolist(), stars.tolist(), strict=True)}
+
+    assert of(5) == pytest.approx(of(1 << 20)) and len(of(5)) > 100
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    """The shuffles that make a written table are deleted once it is made, and the session's setting is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, disk = spark.conf.get(key), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    old = held()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):
+        if held() <= old:
+            break
+        time.sleep(0.1)
+    assert held() <= old and spark.conf.get(key) == before
+    assert table.count() == 7
